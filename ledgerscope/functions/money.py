@@ -106,7 +106,7 @@ def float_text(col: Column | str) -> Column:
     1e-4 up to 1e16, outside of it ``1e+16`` and ``1.5e-05``.
     """
     x = F.col(col) if isinstance(col, str) else col
-    plain = F.format_number(x, "0.0" + "#" * 24)
+    plain = F.call_function("format_number", x, F.lit("0.0" + "#" * 24))
     text = x.cast("string")
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     exponent = F.substring_index(text, "E", -1)

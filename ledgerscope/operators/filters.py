@@ -37,14 +37,15 @@ def is_usd(tx: DataFrame, params: RiskParams) -> Column:
 
 
 def in_period(tx: DataFrame, period: Period) -> Column:
-    """Both ends included; a ledger is also restricted to the days, which are its partitions."""
+    """Both ends included; a ledger is also restricted by the column it is partitioned by."""
     start = F.lit(period.start).cast("timestamp_ntz")
     end = F.lit(period.end).cast("timestamp_ntz")
     inside = F.col("ts").between(start, end)
+    first, last = period.start.date(), period.end.date()
     if "tx_date" in tx.columns:
-        inside &= F.col("tx_date").between(
-            F.lit(period.start.date()), F.lit(period.end.date())
-        )
+        inside &= F.col("tx_date").between(F.lit(first), F.lit(last))
+    if "tx_month" in tx.columns:
+        inside &= F.col("tx_month").between(F.lit(first.replace(day=1)), F.lit(last))
     return inside
 
 

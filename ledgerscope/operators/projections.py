@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions import float_parse, parse_ts, round_cents
+from ledgerscope.functions import float_parse, normalize_bank_id, parse_ts, round_cents
 from ledgerscope.schemas import RESULTS
 
 _PARSED = ("ts", "amount")
@@ -32,16 +32,17 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
 
 def normalize_valid_transactions(raw: DataFrame) -> DataFrame:
     """Like `normalize_transactions`, without the rows `rejected_transactions` gives."""
-    return _parsed(raw, strict=False).dropna(subset=list(_PARSED))
+    readable = normalize_bank_id("from_bank", strict=False).isNotNull()
+    return _parsed(raw, strict=False).dropna(subset=list(_PARSED)).where(readable)
 
 
 def rejected_transactions(raw: DataFrame) -> DataFrame:
     """Raw rows whose time, amount or source bank cannot be read, with the reason."""
     bad_ts = parse_ts("timestamp", strict=False).isNull()
     bad_amount = float_parse("amount_paid", strict=False).isNull()
-    return raw.where(bad_ts | bad_amount).withColumn(
-        "reject_reason", F.when(bad_ts, "timestamp").otherwise("amount")
-    )
+    bad_bank = normalize_bank_id("from_bank", strict=False).isNull()
+    reason = F.when(bad_ts, "timestamp").when(bad_amount, "amount").otherwise("from_bank")
+    return raw.where(bad_ts | bad_amount | bad_bank).withColumn("reject_reason", reason)
 
 
 def bank_catalog(accounts: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.functions import float_text
 from ledgerscope.params import Period, RiskParams
 from ledgerscope.schemas import TRANSACTION
 
@@ -103,9 +104,9 @@ def raw_transactions(tx: DataFrame) -> DataFrame:
         "from_account",
         "to_bank",
         "to_account",
-        F.col("amount").cast("string").alias("amount_received"),
+        float_text("amount").alias("amount_received"),
         F.col("currency").alias("receiving_currency"),
-        F.col("amount").cast("string").alias("amount_paid"),
+        float_text("amount").alias("amount_paid"),
         F.col("currency").alias("payment_currency"),
         "payment_format",
         F.lit("0").alias("is_laundering"),
