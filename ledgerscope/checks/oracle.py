@@ -155,6 +155,10 @@ where av > 0 and amount < 0.01E0 * av""")
 
 _PAIRS = _graph("select from_bank, from_account, to_bank, to_account from pairs")
 
+_ACCOUNTS_4 = _graph("""
+select from_bank as bank, from_account as account from pairs
+union select to_bank, to_account from pairs""")
+
 _LINE_1 = """from_bank || ',' || from_account || ',' || to_bank || ',' || to_account || ','
   || cast(amount as varchar)"""
 
@@ -317,9 +321,8 @@ select fb as bank, fa as account from e union select tb, ta from e"""),
 select bank_id, count(distinct bank_name) as names, min(bank_name) as bank_name
 from accounts group by bank_id having count(distinct bank_name) > 1"""),
     # scatter-gather
-    "q4_scatter_gather": _graph("""
-select from_bank as bank, from_account as account from pairs
-union select to_bank, to_account from pairs"""),
+    "q4_scatter_gather": _ACCOUNTS_4,
+    "q4_scatter_gather_hubs": _ACCOUNTS_4,
     "q4_pairs": _PAIRS,
     "q4_pairs_no_prune": _PAIRS,
     "q4_pairs_hubs": _PAIRS,

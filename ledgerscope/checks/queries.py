@@ -389,6 +389,11 @@ def q4_pairs_hubs(spark: SparkSession, sf: str) -> DataFrame:
     return plans.scatter_gather_account_pairs(_tx(spark, sf), low)
 
 
+def q4_scatter_gather_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    low = replace(PARAMS, hub_paths=100)
+    return plans.scatter_gather_accounts(_tx(spark, sf), low)
+
+
 def q4_by_client(spark: SparkSession, sf: str) -> DataFrame:
     """Per payment format as client; three accounts between are enough."""
     fewer = replace(PARAMS, min_intermediaries=3)
@@ -574,6 +579,7 @@ QUERIES: dict[str, Query] = {
     "distinct_accounts": distinct_accounts,
     "bank_name_conflicts": bank_name_conflicts,
     "q4_scatter_gather": q4_scatter_gather,
+    "q4_scatter_gather_hubs": q4_scatter_gather_hubs,
     "q4_pairs": q4_pairs,
     "q4_pairs_no_prune": q4_pairs_no_prune,
     "q4_pairs_hubs": q4_pairs_hubs,

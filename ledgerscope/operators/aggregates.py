@@ -50,12 +50,8 @@ def merge_bank_max(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def bank_names(catalog: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One name per normalised bank id, the smallest if there are several.
-
-    Equal pairs are merged first: that step hashes, and leaves the ordered
-    minimum of text a table of bank names instead of all accounts.
-    """
-    pairs = catalog.select(*by, normalize_bank_id("bank_id").alias("bank_id"), "name").distinct()
+    """One name per normalised bank id, the smallest if there are several."""
+    pairs = catalog.select(*by, normalize_bank_id("bank_id").alias("bank_id"), "name")
     return pairs.groupBy(*by, "bank_id").agg(F.min("name").alias("bank_name"))
 
 

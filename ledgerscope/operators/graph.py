@@ -18,12 +18,17 @@ pairs, and one m may take part in a third of all transfers. What is done:
 * the count of a found pair is then completed exactly: mids left out on both
   sides are the overlap of two lists of at most k-1, mids left out on one side
   are looked up as edges, again at most k-1 per pair, and only for pairs which
-  can still reach k.
+  can still reach k;
+* if accounts are asked for and not pairs, an s and a t with the same first k
+  hubs are settled by that alone. Grouping by these lists settles accounts
+  around many hubs without a pair, and pairs of two settled accounts are not
+  looked for at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,36 +97,36 @@ def frequent_accounts(degrees: DataFrame, k: int) -> DataFrame:
     return degrees.where((F.col("in_degree") >= k) | (F.col("out_degree") >= k))
 
 
-def _frequent(edges: DataFrame, end: str, k: int) -> DataFrame:
-    return edges.groupBy(end).agg(F.count("*").alias("degree")).where(F.col("degree") >= k)
-
-
-def scatter_edges(edges: DataFrame, k: int) -> DataFrame:
+def scatter_edges(edges: DataFrame, degrees: DataFrame, k: int) -> DataFrame:
     """Edges whose sender pays at least k accounts."""
-    return edges.join(_frequent(edges, "src", k), "src", "left_semi").select("src", "dst")
+    senders = degrees.where(F.col("out_degree") >= k).select(F.col("node").alias("src"))
+    return edges.join(senders, "src", "left_semi").select("src", "dst")
 
 
-def gather_edges(edges: DataFrame, k: int) -> DataFrame:
+def gather_edges(edges: DataFrame, degrees: DataFrame, k: int) -> DataFrame:
     """Edges whose receiver is paid by at least k accounts."""
-    return edges.join(_frequent(edges, "dst", k), "dst", "left_semi").select("src", "dst")
+    receivers = degrees.where(F.col("in_degree") >= k).select(F.col("node").alias("dst"))
+    return edges.join(receivers, "dst", "left_semi").select("src", "dst")
 
 
 def frequent_edges(edges: DataFrame, k: int) -> DataFrame:
     """Edges which may be the first or the second half of a path, by ``is_scatter``."""
+    degrees = account_degrees(edges)
     return (
-        scatter_edges(edges, k)
+        scatter_edges(edges, degrees, k)
         .withColumn("is_scatter", F.lit(True))
-        .unionByName(gather_edges(edges, k).withColumn("is_scatter", F.lit(False)))
+        .unionByName(
+            gather_edges(edges, degrees, k).withColumn("is_scatter", F.lit(False))
+        )
     )
 
 
-def _halves(edges: DataFrame, k: int, prune: bool) -> tuple[DataFrame, DataFrame]:
+def _halves(edges: DataFrame, degrees: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """First halves (src, mid) and second halves (mid, dst) of the paths."""
-    first = scatter_edges(edges, k) if prune else edges
-    second = gather_edges(edges, k) if prune else edges
+    first, second = scatter_edges(edges, degrees, k), gather_edges(edges, degrees, k)
     return (
-        first.select("src", F.col("dst").alias("mid")),
-        second.select(F.col("src").alias("mid"), "dst"),
+        first.withColumnRenamed("dst", "mid"),
+        second.withColumnRenamed("src", "mid"),
     )
 
 
@@ -129,13 +134,14 @@ def _join_halves(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(second, "mid").where(F.col("src") != F.col("dst"))
 
 
-def two_hop_paths(edges: DataFrame, k: int, prune: bool = True) -> DataFrame:
-    """All paths (src, mid, dst) over one account between, with different ends.
+def two_hop_paths(edges: DataFrame, k: int) -> DataFrame:
+    """All paths (src, mid, dst) with different ends, of accounts frequent enough.
 
     The paths themselves are the result here, in x out of every account, so a
     hub is not spared; `scatter_gather_pairs` counts without writing them out.
+    With ``k=1`` nothing is left out.
     """
-    return _join_halves(*_halves(edges, k, prune)).select("src", "mid", "dst")
+    return _join_halves(*_halves(edges, account_degrees(edges), k)).select("src", "mid", "dst")
 
 
 def path_counts(paths: DataFrame) -> DataFrame:
@@ -143,84 +149,82 @@ def path_counts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("src", "dst").agg(F.count("*").alias("mids"))
 
 
-def hub_accounts(first: DataFrame, second: DataFrame, hub_paths: int) -> DataFrame:
-    """Accounts (mid, load) with more than ``hub_paths`` paths through them.
+def hub_accounts(degrees: DataFrame, hub_paths: int) -> DataFrame:
+    """Accounts (mid, coolness) with more than ``hub_paths`` paths through them.
 
     As in + out is at least twice the root of in x out, there are at most
     edges / root(hub_paths) of them.
     """
-    into = first.groupBy("mid").agg(F.count("*").alias("into"))
-    out = second.groupBy("mid").agg(F.count("*").alias("out"))
-    return (
-        into.join(out, "mid")
-        .select("mid", (F.col("into").cast("double") * F.col("out")).alias("load"))
-        .where(F.col("load") > hub_paths)
+    load = F.col("in_degree").cast("double") * F.col("out_degree")
+    return degrees.where(load > hub_paths).select(
+        F.col("node").alias("mid"), (-load).alias("coolness")
     )
 
 
-def _left_out(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str) -> DataFrame:
-    """Per account its hottest k-1 hubs, as a list of order keys (coolness, mid)."""
+def _first_hubs(half: DataFrame, hubs: DataFrame, end: str, k: int) -> DataFrame:
+    """Per account ``end`` its first k hubs as a sorted list of (coolness, mid)."""
     hottest = Window.partitionBy(end).orderBy("coolness", "mid")
     return (
         half.join(hubs, "mid")
-        .select(end, (-F.col("load")).alias("coolness"), "mid")
         .withColumn("place", F.row_number().over(hottest))
-        .where(F.col("place") <= k - 1)
+        .where(F.col("place") <= k)
         .groupBy(end)
-        .agg(F.collect_list(F.struct("coolness", "mid")).alias(name))
+        .agg(F.sort_array(F.collect_list(F.struct("coolness", "mid"))).alias("hubs"))
+    )
+
+
+def _settled(
+    own: DataFrame, others: DataFrame, end: str, other_end: str, k: int
+) -> DataFrame:
+    """Accounts for which another one at the other end has the same first k hubs."""
+    full = F.size("hubs") == k
+    groups = (
+        others.where(full)
+        .groupBy("hubs")
+        .agg(F.count("*").alias("members"), F.min(other_end).alias("member"))
     )
+    partner = (F.col("members") > 1) | (F.col("member") != F.col(end))
+    return own.where(full).join(groups, "hubs").where(partner).select(end)
 
 
-def _without(half: DataFrame, left_out: DataFrame, end: str, name: str) -> DataFrame:
+def _without_first(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str) -> DataFrame:
+    """Drop the edges to the first k-1 hubs of every account and list those as ``name``."""
+    left_out = hubs.select(end, F.slice("hubs", 1, k - 1).alias(name))
     mids = F.transform(F.coalesce(F.col(name), F.array()), lambda hub: hub["mid"])
     return half.join(left_out, end, "left").where(~F.array_contains(mids, F.col("mid")))
 
 
-def _hub_pairs(
-    first: DataFrame, second: DataFrame, hubs: DataFrame, edges: DataFrame, k: int
-) -> DataFrame:
-    by_src = _left_out(first, hubs, "src", k, "src_hubs")
-    by_dst = _left_out(second, hubs, "dst", k, "dst_hubs")
-    found = (
-        _join_halves(
-            _without(first, by_src, "src", "src_hubs"),
-            _without(second, by_dst, "dst", "dst_hubs"),
-        )
-        .groupBy("src", "dst", "src_hubs", "dst_hubs")
-        .agg(F.count("*").alias("kept"))
-    )
+def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Pairs with k accounts between, from paths without the hubs left out."""
+    found = paths.groupBy("src", "dst", "src_hubs", "dst_hubs").agg(F.count("*").alias("kept"))
 
     def listed(name: str) -> Column:
         return F.coalesce(F.col(name), F.array())
 
-    both = F.size(F.array_intersect(listed("src_hubs"), listed("dst_hubs")))
     # A hub left out by one account only is worth asking for if the other one
     # may have kept it: that one left out all it could, and all of them hotter.
-
     def kept_elsewhere(name: str, other: str) -> Column:
         full = F.size(listed(other)) == k - 1
         cooler = F.filter(listed(name), lambda hub: hub > F.array_max(other))
         return F.when(full, cooler).otherwise(F.array())
 
-    only_dst = kept_elsewhere("dst_hubs", "src_hubs")
-    only_src = kept_elsewhere("src_hubs", "dst_hubs")
     asked = F.concat(
         F.transform(
-            only_dst, lambda hub: F.struct(F.col("src").alias("a"), hub["mid"].alias("b"))
+            kept_elsewhere("dst_hubs", "src_hubs"),
+            lambda hub: F.struct(F.col("src").alias("a"), hub["mid"].alias("b")),
         ),
         F.transform(
-            only_src, lambda hub: F.struct(hub["mid"].alias("a"), F.col("dst").alias("b"))
+            kept_elsewhere("src_hubs", "dst_hubs"),
+            lambda hub: F.struct(hub["mid"].alias("a"), F.col("dst").alias("b")),
         ),
     )
+    both = F.size(F.array_intersect(listed("src_hubs"), listed("dst_hubs")))
     known = found.select("src", "dst", (F.col("kept") + both).alias("mids"), asked.alias("asked"))
     enough = known.where(F.col("mids") >= k).select("src", "dst")
     completed = (
         known.where((F.col("mids") < k) & (F.col("mids") + F.size("asked") >= k))
-        .select("src", "dst", "mids", F.explode("asked").alias("ask"))
-        .join(
-            edges.select(F.col("src").alias("a"), F.col("dst").alias("b")),
-            (F.col("ask.a") == F.col("a")) & (F.col("ask.b") == F.col("b")),
-        )
+        .select("src", "dst", "mids", F.inline("asked"))
+        .join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"])
         .groupBy("src", "dst", "mids")
         .agg(F.count("*").alias("more"))
         .where(F.col("mids") + F.col("more") >= k)
@@ -229,24 +233,69 @@ def _hub_pairs(
     return enough.unionByName(completed)
 
 
-def scatter_gather_pairs(
-    edges: DataFrame, params: RiskParams, prune: bool = True
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Search:
+    """What the search for pairs and for accounts have in common."""
+
+    edges: DataFrame
+    first: DataFrame
+    second: DataFrame
+    hubs: DataFrame | None  # None if no account is a hub
+
+
+def _prepare(edges: DataFrame, params: RiskParams, prune: bool) -> _Search:
+    k = params.min_intermediaries if prune else 1
+    if params.hub_paths is None:
+        first, second = _halves(edges, account_degrees(edges), k)
+        return _Search(edges, first, second, None)
+    edges = land(edges, "edges")
+    degrees = land(account_degrees(edges), "degrees")
+    first, second = _halves(edges, degrees, k)
+    hubs = hub_accounts(degrees, params.hub_paths)
+    return _Search(edges, first, second, None if hubs.isEmpty() else hubs)
+
+
+def _plain_pairs(search: _Search, k: int) -> DataFrame:
+    counts = path_counts(_join_halves(search.first, search.second))
+    return counts.where(F.col("mids") >= k).select("src", "dst")
+
+
+def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
     """Pairs (src, dst) with at least k distinct accounts between them.
 
     ``prune`` and ``hub_paths`` change the work, never the result. With
     ``hub_paths=None`` the plan is fully lazy and hubs are joined like others.
     """
-    k = params.min_intermediaries
-    if params.hub_paths is None:
-        first, second = _halves(edges, k, prune)
-        return path_counts(_join_halves(first, second)).where(F.col("mids") >= k).drop("mids")
-    edges = land(edges, "edges")
-    first, second = _halves(edges, k, prune)
-    hubs = land(hub_accounts(first, second, params.hub_paths), "hubs")
-    if hubs.isEmpty():
-        return path_counts(_join_halves(first, second)).where(F.col("mids") >= k).drop("mids")
-    return _hub_pairs(first, second, hubs, edges, k)
+    k, search = params.min_intermediaries, _prepare(edges, params, prune)
+    if search.hubs is None:
+        return _plain_pairs(search, k)
+    src_hubs = _first_hubs(search.first, search.hubs, "src", k)
+    dst_hubs = _first_hubs(search.second, search.hubs, "dst", k)
+    paths = _join_halves(
+        _without_first(search.first, src_hubs, "src", k, "src_hubs"),
+        _without_first(search.second, dst_hubs, "dst", k, "dst_hubs"),
+    )
+    return _complete(paths, search.edges, k)
+
+
+def scatter_gather_nodes(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
+    """The distinct accounts at either end of such a pair."""
+    k, search = params.min_intermediaries, _prepare(edges, params, prune)
+    if search.hubs is None:
+        return distinct_accounts(path_endpoints(_plain_pairs(search, k)))
+    src_hubs = land(_first_hubs(search.first, search.hubs, "src", k), "src-hubs")
+    dst_hubs = land(_first_hubs(search.second, search.hubs, "dst", k), "dst-hubs")
+    src_done = land(_settled(src_hubs, dst_hubs, "src", "dst", k), "src-settled")
+    dst_done = land(_settled(dst_hubs, src_hubs, "dst", "src", k), "dst-settled")
+    first = _without_first(search.first, src_hubs, "src", k, "src_hubs")
+    second = _without_first(search.second, dst_hubs, "dst", k, "dst_hubs")
+    open_first = first.join(src_done, "src", "left_anti")
+    done_first = first.join(src_done, "src", "left_semi")
+    open_second = second.join(dst_done, "dst", "left_anti")
+    paths = _join_halves(open_first, second).unionByName(_join_halves(done_first, open_second))
+    settled = src_done.toDF("node").unionByName(dst_done.toDF("node")).select("node.*")
+    pairs = _complete(paths, search.edges, k)
+    return distinct_accounts(settled.unionByName(path_endpoints(pairs)))
 
 
 def path_endpoints(pairs: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def scatter_gather_accounts(
 ) -> DataFrame:
     """Question 4: accounts at either end of a scatter-gather pattern."""
     edges = graph.distinct_edges(graph.transfers(tx, params), by)
-    pairs = graph.scatter_gather_pairs(edges, params, prune)
-    return as_result(graph.distinct_accounts(graph.path_endpoints(pairs)), 4)
+    return as_result(graph.scatter_gather_nodes(edges, params, prune), 4)
 
 
 def low_converted_count(

@@ -35,5 +35,4 @@ def staged_scatter_gather(
     edges = run_appending(
         graph.distinct_edges(graph.transfers(stream, params), by), "stream-edges"
     )
-    pairs = graph.scatter_gather_pairs(edges, params)
-    return as_result(graph.distinct_accounts(graph.path_endpoints(pairs)), 4)
+    return as_result(graph.scatter_gather_nodes(edges, params), 4)
