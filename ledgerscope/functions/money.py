@@ -103,7 +103,8 @@ def float_text(col: Column | str) -> Column:
     """A double as the shortest decimal text, e.g. ``50.0`` or ``12345678.9``.
 
     A cast to string would write ``1.23456789E7``. Plain digits are used from
-    1e-4 up to 1e16, outside of it ``1e+16`` and ``1.5e-05``.
+    1e-4 up to 1e16, outside of it ``1e+16`` and ``1.5e-05``. Digits come from
+    Java, which before version 19 has one too many for a few values above 1e16.
     """
     x = F.col(col) if isinstance(col, str) else col
     plain = F.call_function("format_number", x, F.lit("0.0" + "#" * 24))
