@@ -11,11 +11,18 @@ from ledgerscope.functions.money import (
     usd_value,
 )
 from ledgerscope.functions.shard import stable_shard
-from ledgerscope.functions.text import currency_key, float_parse, format_key, normalize_bank_id
+from ledgerscope.functions.text import (
+    bank_number,
+    currency_key,
+    float_parse,
+    format_key,
+    normalize_bank_id,
+)
 
 __all__ = [
     "BTC_RATES",
     "CURRENCY_ISO",
+    "bank_number",
     "currency_iso",
     "currency_key",
     "float_parse",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions import format_key, normalize_bank_id
+from ledgerscope.functions import bank_number, format_key
 from ledgerscope.operators.filters import is_low_converted
 
 
@@ -20,11 +20,11 @@ def bank_max(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     best = F.min(F.struct((-F.col("amount")).alias("negated"), F.col("from_account")))
     return (
-        tx.groupBy(*by, normalize_bank_id("from_bank").alias("bank_id"))
+        tx.groupBy(*by, bank_number("from_bank").alias("bank"))
         .agg(best.alias("best"))
         .select(
             *by,
-            "bank_id",
+            F.col("bank").cast("string").alias("bank_id"),
             F.col("best.from_account").alias("from_account"),
             (-F.col("best.negated")).alias("amount"),
         )
@@ -33,14 +33,14 @@ def bank_max(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def bank_max_window(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The same result by ranking; Spark keeps one row per bank and task before it shuffles."""
-    rows = tx.select(
-        *by, normalize_bank_id("from_bank").alias("bank_id"), "from_account", "amount"
-    )
-    order = Window.partitionBy(*by, "bank_id").orderBy(
+    rows = tx.select(*by, bank_number("from_bank").alias("bank"), "from_account", "amount")
+    order = Window.partitionBy(*by, "bank").orderBy(
         F.col("amount").desc(), F.col("from_account").asc()
     )
     return (
-        rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        rows.withColumn("place", F.row_number().over(order))
+        .where("place = 1")
+        .select(*by, F.col("bank").cast("string").alias("bank_id"), "from_account", "amount")
     )
 
 
@@ -51,18 +51,21 @@ def merge_bank_max(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def bank_names(catalog: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One name per normalised bank id, the smallest if there are several."""
-    pairs = catalog.select(*by, normalize_bank_id("bank_id").alias("bank_id"), "name")
-    return pairs.groupBy(*by, "bank_id").agg(F.min("name").alias("bank_name"))
+    names = catalog.groupBy(*by, bank_number("bank_id").alias("bank")).agg(
+        F.min("name").alias("bank_name")
+    )
+    return names.select(*by, F.col("bank").cast("string").alias("bank_id"), "bank_name")
 
 
 def bank_name_conflicts(catalog: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Bank ids which appear with more than one name."""
-    pairs = catalog.select(*by, normalize_bank_id("bank_id").alias("bank_id"), "name").distinct()
+    pairs = catalog.select(*by, bank_number("bank_id").alias("bank"), "name").distinct()
     return (
         pairs.where("name is not null")
-        .groupBy(*by, "bank_id")
+        .groupBy(*by, "bank")
         .agg(F.count("*").alias("names"), F.min("name").alias("bank_name"))
         .where("names > 1")
+        .select(*by, F.col("bank").cast("string").alias("bank_id"), "names", "bank_name")
     )
 
 
