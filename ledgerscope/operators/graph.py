@@ -149,23 +149,88 @@ def path_counts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("src", "dst").agg(F.count("*").alias("mids"))
 
 
-def hub_accounts(degrees: DataFrame, hub_paths: int) -> DataFrame:
-    """Accounts (mid, coolness) with more than ``hub_paths`` paths through them.
+# --- search over numbered accounts ----------------------------------------------
+
+
+@dataclass(frozen=True)
+class NumberedGraph:
+    """Edges between account numbers, with the degrees of both ends, and who is who.
+
+    Paths outnumber edges by far, so the accounts are numbered before: pairs are
+    then grouped and shuffled as two integers instead of four texts. The numbers
+    are written with the accounts, hence they are the same for every reader.
+    """
+
+    accounts: DataFrame  # node, number, in_degree, out_degree
+    edges: DataFrame  # src, dst, {src,dst}_{in,out}
+
+    def names(self, end: str) -> DataFrame:
+        return self.accounts.select(F.col("number").alias(end), F.col("node").alias(f"{end}_node"))
+
+
+def number_accounts(edges: DataFrame) -> NumberedGraph:
+    edges = land(edges, "edges")
+    accounts = land(
+        account_degrees(edges).withColumn("number", F.monotonically_increasing_id()), "accounts"
+    )
+
+    def end(name: str) -> DataFrame:
+        return accounts.select(
+            F.col("node").alias(name),
+            F.col("number").alias(f"{name}_number"),
+            F.col("in_degree").alias(f"{name}_in"),
+            F.col("out_degree").alias(f"{name}_out"),
+        )
+
+    numbered = edges.join(end("src"), "src").join(end("dst"), "dst")
+    columns = ["src_in", "src_out", "dst_in", "dst_out"]
+    renamed = numbered.select(
+        F.col("src_number").alias("src"), F.col("dst_number").alias("dst"), *columns
+    )
+    return NumberedGraph(accounts, land(renamed, "numbered-edges"))
+
+
+def _load(end: str) -> Column:
+    return F.col(f"{end}_in").cast("double") * F.col(f"{end}_out")
+
+
+def _search_halves(found: NumberedGraph, k: int) -> tuple[DataFrame, DataFrame]:
+    """First halves (src, mid) and second halves (mid, dst) with the mid's load.
+
+    The degrees travel with the edges, so this is a filter and not a join: the
+    outer end needs k neighbours, the account between both a sender and a receiver.
+    """
+    first = found.edges.where((F.col("src_out") >= k) & (F.col("dst_out") > 0)).select(
+        "src", F.col("dst").alias("mid"), _load("dst").alias("load")
+    )
+    second = found.edges.where((F.col("dst_in") >= k) & (F.col("src_in") > 0)).select(
+        F.col("src").alias("mid"), "dst", _load("src").alias("load")
+    )
+    return first, second
+
+
+def has_hubs(found: NumberedGraph, hub_paths: int | None) -> bool:
+    """Is there an account with more than ``hub_paths`` paths through it?
 
     As in + out is at least twice the root of in x out, there are at most
-    edges / root(hub_paths) of them.
+    edges / root(hub_paths) such accounts.
     """
+    if hub_paths is None:
+        return False
     load = F.col("in_degree").cast("double") * F.col("out_degree")
-    return degrees.where(load > hub_paths).select(
-        F.col("node").alias("mid"), (-load).alias("coolness")
-    )
+    return not found.accounts.where(load > hub_paths).isEmpty()
 
 
-def _first_hubs(half: DataFrame, hubs: DataFrame, end: str, k: int) -> DataFrame:
-    """Per account ``end`` its first k hubs as a sorted list of (coolness, mid)."""
+def _first_hubs(half: DataFrame, end: str, k: int, hub_paths: int) -> DataFrame:
+    """Per account ``end`` its first k hubs as a sorted list of (coolness, mid).
+
+    The rank limit is applied before the shuffle as well, so an account with any
+    number of hubs sends k of them per task.
+    """
     hottest = Window.partitionBy(end).orderBy("coolness", "mid")
     return (
-        half.join(hubs, "mid")
+        half.where(F.col("load") > hub_paths)
+        .select(end, (-F.col("load")).alias("coolness"), "mid")
         .withColumn("place", F.row_number().over(hottest))
         .where(F.col("place") <= k)
         .groupBy(end)
@@ -173,9 +238,7 @@ def _first_hubs(half: DataFrame, hubs: DataFrame, end: str, k: int) -> DataFrame
     )
 
 
-def _settled(
-    own: DataFrame, others: DataFrame, end: str, other_end: str, k: int
-) -> DataFrame:
+def _settled(own: DataFrame, others: DataFrame, end: str, other_end: str, k: int) -> DataFrame:
     """Accounts for which another one at the other end has the same first k hubs."""
     full = F.size("hubs") == k
     groups = (
@@ -194,6 +257,10 @@ def _without_first(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str
     return half.join(left_out, end, "left").where(~F.array_contains(mids, F.col("mid")))
 
 
+def _meet(first: DataFrame, second: DataFrame) -> DataFrame:
+    return _join_halves(first.drop("load"), second.drop("load"))
+
+
 def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Pairs with k accounts between, from paths without the hubs left out."""
     found = paths.groupBy("src", "dst", "src_hubs", "dst_hubs").agg(F.count("*").alias("kept"))
@@ -233,69 +300,62 @@ def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return enough.unionByName(completed)
 
 
-@dataclass(frozen=True)
-class _Search:
-    """What the search for pairs and for accounts have in common."""
-
-    edges: DataFrame
-    first: DataFrame
-    second: DataFrame
-    hubs: DataFrame | None  # None if no account is a hub
-
-
-def _prepare(edges: DataFrame, params: RiskParams, prune: bool) -> _Search:
-    k = params.min_intermediaries if prune else 1
-    if params.hub_paths is None:
-        first, second = _halves(edges, account_degrees(edges), k)
-        return _Search(edges, first, second, None)
-    edges = land(edges, "edges")
-    degrees = land(account_degrees(edges), "degrees")
-    first, second = _halves(edges, degrees, k)
-    hubs = hub_accounts(degrees, params.hub_paths)
-    return _Search(edges, first, second, None if hubs.isEmpty() else hubs)
-
-
-def _plain_pairs(search: _Search, k: int) -> DataFrame:
-    counts = path_counts(_join_halves(search.first, search.second))
-    return counts.where(F.col("mids") >= k).select("src", "dst")
+def _plain_pairs(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    return path_counts(_meet(first, second)).where(F.col("mids") >= k).select("src", "dst")
 
 
 def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
-    """Pairs (src, dst) with at least k distinct accounts between them.
+    """Pairs (src, dst) of nodes with at least k distinct accounts between them.
 
-    ``prune`` and ``hub_paths`` change the work, never the result. With
-    ``hub_paths=None`` the plan is fully lazy and hubs are joined like others.
+    ``prune`` and ``hub_paths`` change the work, never the result; with
+    ``hub_paths=None`` hubs are joined like other accounts.
     """
-    k, search = params.min_intermediaries, _prepare(edges, params, prune)
-    if search.hubs is None:
-        return _plain_pairs(search, k)
-    src_hubs = _first_hubs(search.first, search.hubs, "src", k)
-    dst_hubs = _first_hubs(search.second, search.hubs, "dst", k)
-    paths = _join_halves(
-        _without_first(search.first, src_hubs, "src", k, "src_hubs"),
-        _without_first(search.second, dst_hubs, "dst", k, "dst_hubs"),
-    )
-    return _complete(paths, search.edges, k)
+    k, graph = params.min_intermediaries, number_accounts(edges)
+    first, second = _search_halves(graph, k if prune else 1)
+    if has_hubs(graph, params.hub_paths):
+        src_hubs = _first_hubs(first, "src", k, params.hub_paths)
+        dst_hubs = _first_hubs(second, "dst", k, params.hub_paths)
+        paths = _meet(
+            _without_first(first, src_hubs, "src", k, "src_hubs"),
+            _without_first(second, dst_hubs, "dst", k, "dst_hubs"),
+        )
+        pairs = _complete(paths, graph.edges, k)
+    else:
+        pairs = _plain_pairs(first, second, k)
+    named = pairs.join(graph.names("src"), "src").join(graph.names("dst"), "dst")
+    return named.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("src", "dst")).alias("number"))
 
 
 def scatter_gather_nodes(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
     """The distinct accounts at either end of such a pair."""
-    k, search = params.min_intermediaries, _prepare(edges, params, prune)
-    if search.hubs is None:
-        return distinct_accounts(path_endpoints(_plain_pairs(search, k)))
-    src_hubs = land(_first_hubs(search.first, search.hubs, "src", k), "src-hubs")
-    dst_hubs = land(_first_hubs(search.second, search.hubs, "dst", k), "dst-hubs")
+    k, graph = params.min_intermediaries, number_accounts(edges)
+    first, second = _search_halves(graph, k if prune else 1)
+    if has_hubs(graph, params.hub_paths):
+        numbers = _nodes_around_hubs(first, second, graph, k, params.hub_paths)
+    else:
+        numbers = _ends(_plain_pairs(first, second, k))
+    return graph.accounts.join(numbers, "number", "left_semi").select("node.*")
+
+
+def _nodes_around_hubs(
+    first: DataFrame, second: DataFrame, graph: NumberedGraph, k: int, hub_paths: int
+) -> DataFrame:
+    src_hubs = land(_first_hubs(first, "src", k, hub_paths), "src-hubs")
+    dst_hubs = land(_first_hubs(second, "dst", k, hub_paths), "dst-hubs")
     src_done = land(_settled(src_hubs, dst_hubs, "src", "dst", k), "src-settled")
     dst_done = land(_settled(dst_hubs, src_hubs, "dst", "src", k), "dst-settled")
-    first = _without_first(search.first, src_hubs, "src", k, "src_hubs")
-    second = _without_first(search.second, dst_hubs, "dst", k, "dst_hubs")
+    first = _without_first(first, src_hubs, "src", k, "src_hubs")
+    second = _without_first(second, dst_hubs, "dst", k, "dst_hubs")
     open_first = first.join(src_done, "src", "left_anti")
     done_first = first.join(src_done, "src", "left_semi")
     open_second = second.join(dst_done, "dst", "left_anti")
-    paths = _join_halves(open_first, second).unionByName(_join_halves(done_first, open_second))
-    settled = src_done.toDF("node").unionByName(dst_done.toDF("node")).select("node.*")
-    pairs = _complete(paths, search.edges, k)
-    return distinct_accounts(settled.unionByName(path_endpoints(pairs)))
+    paths = _meet(open_first, second).unionByName(_meet(done_first, open_second))
+    settled = src_done.toDF("number").unionByName(dst_done.toDF("number"))
+    return settled.unionByName(_ends(_complete(paths, graph.edges, k)))
 
 
 def path_endpoints(pairs: DataFrame) -> DataFrame:
