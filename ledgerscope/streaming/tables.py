@@ -17,7 +17,10 @@ def run_appending(stream: DataFrame, label: str, path: str | None = None) -> Dat
     ``path`` names a folder kept between runs: the next run then takes up only
     what came in since.
     """
-    path = path or scratch_path(stream.sparkSession, label)
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, label)
+    # A stream without input writes nothing; the table is then there and empty.
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/table")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -27,7 +30,7 @@ def run_appending(stream: DataFrame, label: str, path: str | None = None) -> Dat
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 def run_updating(
