@@ -240,12 +240,12 @@ def degree_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 def path_endpoints_differ(spark: SparkSession, sf: str) -> DataFrame:
     """Paths with different ends per account between."""
-    paths = graph.two_hop_paths(_edges(spark, sf), K)
-    return _flat(paths.groupBy("mid").agg(F.count("*").alias("paths")), "mid", keep=("paths",))
+    return _flat(graph.paths_per_account(_edges(spark, sf), K), "mid", keep=("paths",))
 
 
 def path_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    counts = graph.path_counts(graph.two_hop_paths(_edges(spark, sf), K)).where(F.col("mids") >= K)
+    paths = graph.two_hop_paths(_edges(spark, sf), K, PARAMS.hub_paths)
+    counts = graph.path_counts(paths).where(F.col("mids") >= K)
     return _flat(counts, "src", "dst", keep=("mids",))
 
 
@@ -276,7 +276,8 @@ def fx_unmatched_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_hop_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(graph.two_hop_paths(_edges(spark, sf), K), "src", "mid", "dst")
+    paths = graph.two_hop_paths(_edges(spark, sf), K, PARAMS.hub_paths)
+    return _flat(paths, "src", "mid", "dst")
 
 
 def frequent_edge_semijoin(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,7 +340,7 @@ def account_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_mid_count(spark: SparkSession, sf: str) -> DataFrame:
-    counts = graph.path_counts(graph.two_hop_paths(_edges(spark, sf), K))
+    counts = graph.path_counts(graph.two_hop_paths(_edges(spark, sf), K, PARAMS.hub_paths))
     return _flat(counts, "src", "dst", keep=("mids",))
 
 

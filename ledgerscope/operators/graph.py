@@ -130,18 +130,62 @@ def _halves(edges: DataFrame, degrees: DataFrame, k: int) -> tuple[DataFrame, Da
     )
 
 
-def _join_halves(first: DataFrame, second: DataFrame) -> DataFrame:
-    return first.join(second, "mid").where(F.col("src") != F.col("dst"))
+def _join_halves(
+    first: DataFrame, second: DataFrame, hub_paths: int | None = None
+) -> DataFrame:
+    """Paths of the halves, with different ends.
+
+    With ``hub_paths`` an account with more pairs than that is cut in parts: its
+    senders are spread over the parts and its receivers go to each of them, so
+    that no task has to put out much more than ``hub_paths`` of its paths.
+    """
+    different = F.col("src") != F.col("dst")
+    if hub_paths is None:
+        return first.join(second, "mid").where(different)
+    into = first.groupBy("mid").agg(F.count("*").alias("into"))
+    out = second.groupBy("mid").agg(F.count("*").alias("out"))
+    parts = F.ceil(F.col("into").cast("double") * F.col("out") / F.lit(max(hub_paths, 1)))
+    hubs = (
+        into.join(out, "mid")
+        .select("mid", F.least(parts, F.col("into")).cast("int").alias("parts"))
+        .where(F.col("parts") > 1)
+    )
+    known = F.coalesce(F.col("parts"), F.lit(1))
+    spread = first.join(hubs, "mid", "left").withColumn(
+        "part", F.pmod(F.xxhash64("src"), known).cast("int")
+    )
+    copied = second.join(hubs, "mid", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), known - 1))
+    )
+    return (
+        spread.drop("parts").join(copied.drop("parts"), ["mid", "part"]).where(different)
+    ).drop("part")
 
 
-def two_hop_paths(edges: DataFrame, k: int) -> DataFrame:
+def two_hop_paths(edges: DataFrame, k: int, hub_paths: int | None = None) -> DataFrame:
     """All paths (src, mid, dst) with different ends, of accounts frequent enough.
 
-    The paths themselves are the result here, in x out of every account, so a
-    hub is not spared; `scatter_gather_pairs` counts without writing them out.
-    With ``k=1`` nothing is left out.
+    The paths themselves are the result here, so a hub yields all its in x out,
+    by several tasks if ``hub_paths`` is given; `scatter_gather_pairs` counts
+    them without writing them out. With ``k=1`` nothing is left out.
     """
-    return _join_halves(*_halves(edges, account_degrees(edges), k)).select("src", "mid", "dst")
+    first, second = _halves(edges, account_degrees(edges), k)
+    return _join_halves(first, second, hub_paths).select("src", "mid", "dst")
+
+
+def paths_per_account(edges: DataFrame, k: int) -> DataFrame:
+    """Number of paths with different ends over every account, without joining any.
+
+    All in x out of the account, less those which lead back to where they came from.
+    """
+    first, second = _halves(edges, account_degrees(edges), k)
+    back = first.join(second.withColumnRenamed("dst", "src"), ["mid", "src"])
+    into = first.groupBy("mid").agg(F.count("*").alias("into"))
+    out = second.groupBy("mid").agg(F.count("*").alias("out"))
+    returns = back.groupBy("mid").agg(F.count("*").alias("returns"))
+    paths = F.col("into") * F.col("out") - F.coalesce(F.col("returns"), F.lit(0))
+    counts = into.join(out, "mid").join(returns, "mid", "left")
+    return counts.select("mid", paths.alias("paths")).where(F.col("paths") > 0)
 
 
 def path_counts(paths: DataFrame) -> DataFrame:
@@ -254,11 +298,8 @@ def _without_first(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str
     """Drop the edges to the first k-1 hubs of every account and list those as ``name``."""
     left_out = hubs.select(end, F.slice("hubs", 1, k - 1).alias(name))
     mids = F.transform(F.coalesce(F.col(name), F.array()), lambda hub: hub["mid"])
-    return half.join(left_out, end, "left").where(~F.array_contains(mids, F.col("mid")))
-
-
-def _meet(first: DataFrame, second: DataFrame) -> DataFrame:
-    return _join_halves(first.drop("load"), second.drop("load"))
+    kept = half.join(left_out, end, "left").where(~F.array_contains(mids, F.col("mid")))
+    return land(kept.drop("load"), name)
 
 
 def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -301,7 +342,8 @@ def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 
 def _plain_pairs(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    return path_counts(_meet(first, second)).where(F.col("mids") >= k).select("src", "dst")
+    paths = _join_halves(first.drop("load"), second.drop("load"))
+    return path_counts(paths).where(F.col("mids") >= k).select("src", "dst")
 
 
 def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
@@ -315,9 +357,10 @@ def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = Tru
     if has_hubs(graph, params.hub_paths):
         src_hubs = _first_hubs(first, "src", k, params.hub_paths)
         dst_hubs = _first_hubs(second, "dst", k, params.hub_paths)
-        paths = _meet(
+        paths = _join_halves(
             _without_first(first, src_hubs, "src", k, "src_hubs"),
             _without_first(second, dst_hubs, "dst", k, "dst_hubs"),
+            params.hub_paths,
         )
         pairs = _complete(paths, graph.edges, k)
     else:
@@ -353,7 +396,9 @@ def _nodes_around_hubs(
     open_first = first.join(src_done, "src", "left_anti")
     done_first = first.join(src_done, "src", "left_semi")
     open_second = second.join(dst_done, "dst", "left_anti")
-    paths = _meet(open_first, second).unionByName(_meet(done_first, open_second))
+    paths = _join_halves(open_first, second, hub_paths).unionByName(
+        _join_halves(done_first, open_second, hub_paths)
+    )
     settled = src_done.toDF("number").unionByName(dst_done.toDF("number"))
     return settled.unionByName(_ends(_complete(paths, graph.edges, k)))
 

@@ -102,6 +102,37 @@ def test_accounts(spark, edges, k, hub_paths, prune):
         assert got.get(name, []) == expected, name
 
 
+def brute_paths(pairs):
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    return {
+        (a, m, b) for a, mids in out.items() for m in mids for b in out.get(m, ()) if a != b
+    }
+
+
+@pytest.mark.parametrize("hub_paths", [None, 0, 7, 1_000_000])
+def test_paths(spark, edges, hub_paths):
+    got = defaultdict(list)
+    for row in graph.two_hop_paths(edges, 1, hub_paths).collect():
+        path = tuple(row[end]["account"] for end in ("src", "mid", "dst"))
+        got[row["src"]["client_id"]].append(path)
+    for name, pairs in GRAPHS.items():
+        assert sorted(got[name]) == sorted(brute_paths(pairs)), name
+
+
+def test_paths_per_account(spark, edges):
+    got = {
+        (row["mid"]["client_id"], row["mid"]["account"]): row["paths"]
+        for row in graph.paths_per_account(edges, 1).collect()
+    }
+    expected = defaultdict(int)
+    for name, pairs in GRAPHS.items():
+        for _, mid, _ in brute_paths(pairs):
+            expected[name, mid] += 1
+    assert got == expected
+
+
 def test_fixture():
     assert {end for pair in brute_pairs(GRAPHS["fixture"], 5) for end in pair} == {
         "S", "G", "P", "Q",
