@@ -212,7 +212,18 @@ class NumberedGraph:
         return self.accounts.select(F.col("number").alias(end), F.col("node").alias(f"{end}_node"))
 
 
-def number_accounts(edges: DataFrame) -> NumberedGraph:
+def _may_start(k: int) -> Column:
+    """The edge may be a first half: its sender pays k accounts, its receiver pays on."""
+    return (F.col("src_out") >= k) & (F.col("dst_out") > 0)
+
+
+def _may_end(k: int) -> Column:
+    """The edge may be a second half: its receiver is paid by k, its sender is paid too."""
+    return (F.col("dst_in") >= k) & (F.col("src_in") > 0)
+
+
+def number_accounts(edges: DataFrame, k: int) -> NumberedGraph:
+    """Number the accounts; edges which cannot be half of a path are left out."""
     edges = land(edges, "edges")
     accounts = land(
         account_degrees(edges).withColumn("number", F.monotonically_increasing_id()), "accounts"
@@ -226,7 +237,9 @@ def number_accounts(edges: DataFrame) -> NumberedGraph:
             F.col("out_degree").alias(f"{name}_out"),
         )
 
-    numbered = edges.join(end("src"), "src").join(end("dst"), "dst")
+    numbered = (
+        edges.join(end("src"), "src").join(end("dst"), "dst").where(_may_start(k) | _may_end(k))
+    )
     columns = ["src_in", "src_out", "dst_in", "dst_out"]
     renamed = numbered.select(
         F.col("src_number").alias("src"), F.col("dst_number").alias("dst"), *columns
@@ -238,22 +251,21 @@ def _load(end: str) -> Column:
     return F.col(f"{end}_in").cast("double") * F.col(f"{end}_out")
 
 
-def _search_halves(found: NumberedGraph, k: int) -> tuple[DataFrame, DataFrame]:
+def _search_halves(graph: NumberedGraph, k: int) -> tuple[DataFrame, DataFrame]:
     """First halves (src, mid) and second halves (mid, dst) with the mid's load.
 
-    The degrees travel with the edges, so this is a filter and not a join: the
-    outer end needs k neighbours, the account between both a sender and a receiver.
+    The degrees travel with the edges, so this is a filter and not a join.
     """
-    first = found.edges.where((F.col("src_out") >= k) & (F.col("dst_out") > 0)).select(
+    first = graph.edges.where(_may_start(k)).select(
         "src", F.col("dst").alias("mid"), _load("dst").alias("load")
     )
-    second = found.edges.where((F.col("dst_in") >= k) & (F.col("src_in") > 0)).select(
+    second = graph.edges.where(_may_end(k)).select(
         F.col("src").alias("mid"), "dst", _load("src").alias("load")
     )
     return first, second
 
 
-def has_hubs(found: NumberedGraph, hub_paths: int | None) -> bool:
+def has_hubs(graph: NumberedGraph, hub_paths: int | None) -> bool:
     """Is there an account with more than ``hub_paths`` paths through it?
 
     As in + out is at least twice the root of in x out, there are at most
@@ -262,7 +274,7 @@ def has_hubs(found: NumberedGraph, hub_paths: int | None) -> bool:
     if hub_paths is None:
         return False
     load = F.col("in_degree").cast("double") * F.col("out_degree")
-    return not found.accounts.where(load > hub_paths).isEmpty()
+    return not graph.accounts.where(load > hub_paths).isEmpty()
 
 
 def _first_hubs(half: DataFrame, end: str, k: int, hub_paths: int) -> DataFrame:
@@ -352,8 +364,10 @@ def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = Tru
     ``prune`` and ``hub_paths`` change the work, never the result; with
     ``hub_paths=None`` hubs are joined like other accounts.
     """
-    k, graph = params.min_intermediaries, number_accounts(edges)
-    first, second = _search_halves(graph, k if prune else 1)
+    k = params.min_intermediaries
+    needed = k if prune else 1
+    graph = number_accounts(edges, needed)
+    first, second = _search_halves(graph, needed)
     if has_hubs(graph, params.hub_paths):
         src_hubs = _first_hubs(first, "src", k, params.hub_paths)
         dst_hubs = _first_hubs(second, "dst", k, params.hub_paths)
@@ -375,13 +389,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def scatter_gather_nodes(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
     """The distinct accounts at either end of such a pair."""
-    k, graph = params.min_intermediaries, number_accounts(edges)
-    first, second = _search_halves(graph, k if prune else 1)
+    k = params.min_intermediaries
+    needed = k if prune else 1
+    graph = number_accounts(edges, needed)
+    first, second = _search_halves(graph, needed)
     if has_hubs(graph, params.hub_paths):
         numbers = _nodes_around_hubs(first, second, graph, k, params.hub_paths)
     else:
         numbers = _ends(_plain_pairs(first, second, k))
-    return graph.accounts.join(numbers, "number", "left_semi").select("node.*")
+    return graph.accounts.join(numbers.distinct(), "number", "left_semi").select("node.*")
 
 
 def _nodes_around_hubs(

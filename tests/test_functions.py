@@ -88,3 +88,21 @@ def test_parse_ts(spark):
     got = column(spark, ["2022/09/05 23:59"], "string", fn.parse_ts("v"))
     assert got == [datetime(2022, 9, 5, 23, 59)]
     assert column(spark, ["2022-09-05", "x"], "string", fn.parse_ts("v", strict=False)) == [None, None]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from ledgerscope.session import shared_dir
+
+    def session(master, named):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: named),
+            sparkContext=SimpleNamespace(master=master, applicationId="app"),
+        )
+
+    assert shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn", None))
+    local = session("local[2]", None)
+    assert shared_dir(local) == shared_dir(local)
