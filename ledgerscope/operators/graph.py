@@ -135,31 +135,33 @@ def _join_halves(
 ) -> DataFrame:
     """Paths of the halves, with different ends.
 
-    With ``hub_paths`` an account with more pairs than that is cut in parts: its
-    senders are spread over the parts and its receivers go to each of them, so
-    that no task has to put out much more than ``hub_paths`` of its paths.
+    With ``hub_paths`` an account with more pairs than that is cut into a grid:
+    its senders are spread over the rows and its receivers over the columns, so
+    a cell holds about ``hub_paths`` pairs and cells are spread over the tasks.
+    A sender is copied to the columns of its row and a receiver to the rows of
+    its column, which is 2 / root(hub_paths) copies per pair put out.
     """
     different = F.col("src") != F.col("dst")
     if hub_paths is None:
         return first.join(second, "mid").where(different)
-    into = first.groupBy("mid").agg(F.count("*").alias("into"))
-    out = second.groupBy("mid").agg(F.count("*").alias("out"))
-    parts = F.ceil(F.col("into").cast("double") * F.col("out") / F.lit(max(hub_paths, 1)))
-    hubs = (
-        into.join(out, "mid")
-        .select("mid", F.least(parts, F.col("into")).cast("int").alias("parts"))
-        .where(F.col("parts") > 1)
-    )
-    known = F.coalesce(F.col("parts"), F.lit(1))
-    spread = first.join(hubs, "mid", "left").withColumn(
-        "part", F.pmod(F.xxhash64("src"), known).cast("int")
-    )
-    copied = second.join(hubs, "mid", "left").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), known - 1))
-    )
-    return (
-        spread.drop("parts").join(copied.drop("parts"), ["mid", "part"]).where(different)
-    ).drop("part")
+    side = F.lit(max(float(hub_paths), 1.0) ** 0.5)
+    into = first.groupBy("mid").agg(F.ceil(F.count("*") / side).alias("rows"))
+    out = second.groupBy("mid").agg(F.ceil(F.count("*") / side).alias("columns"))
+    grids = into.join(out, "mid").where(F.col("rows") * F.col("columns") > 1)
+
+    def placed(half: DataFrame, end: str, own: str, other: str) -> DataFrame:
+        size, copies = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        cells = half.join(grids, "mid", "left").select(
+            *half.columns,
+            F.pmod(F.xxhash64(end), size).alias(f"{own}_cell"),
+            F.sequence(F.lit(0).cast("bigint"), copies - 1).alias("copies"),
+        )
+        return cells.withColumn(f"{other}_cell", F.explode("copies")).drop("copies")
+
+    by_row = placed(first, "src", "rows", "columns")
+    by_column = placed(second, "dst", "columns", "rows")
+    cell = ["mid", "rows_cell", "columns_cell"]
+    return by_row.join(by_column, cell).where(different).drop("rows_cell", "columns_cell")
 
 
 def two_hop_paths(edges: DataFrame, k: int, hub_paths: int | None = None) -> DataFrame:

@@ -39,8 +39,9 @@ def anomalous_transfers(
     row can be judged; period 2 is then read once and not shuffled.
     """
     usd = filters.usd_only(tx, params)
-    base = filters.require_fields(usd.where(filters.in_period(tx, params.period_1)), "format_average")
+    first = usd.where(filters.in_period(tx, params.period_1))
     later = filters.require_fields(usd.where(filters.in_period(tx, params.period_2)), "anomaly")
+    base = filters.require_fields(first, "format_average")
     averages = joins.small_side(aggregates.format_averages(base, by), params, "averages")
     return as_result(joins.anomalies(later, averages, params, by), 3)
 
