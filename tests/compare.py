@@ -42,3 +42,23 @@ def sql_rows(connection: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str]
     cursor = connection.execute(sql)
     columns = [d[0] for d in cursor.description]
     return sorted(columns), multiset(columns, cursor.fetchall())
+
+
+# Spark type names as DuckDB calls them.
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def spark_types(df: DataFrame) -> dict[str, str]:
+    return {name: TYPES[kind] for name, kind in df.dtypes}
+
+
+def sql_types(connection: duckdb.DuckDBPyConnection, sql: str) -> dict[str, str]:
+    return {row[0]: str(row[1]) for row in connection.execute(f"describe {sql}").fetchall()}

@@ -121,6 +121,27 @@ def test_ledger_gives_the_same_answers(spark, tx, accounts, rates, tmp_path, gra
     assert "PartitionFilters: [isnotnull(tx_" in plan
 
 
+def test_ledger_of_clients_keeps_their_names(spark, tx, tmp_path):
+    from pyspark.sql import functions as F
+
+    clients = tx.withColumn("client_id", F.when(F.col("amount") < 1, "007").otherwise("8"))
+    ledger = land_ledger(clients, str(tmp_path / "ledger"), by=["client_id"])
+    assert rows(ledger.select(*clients.columns)) == rows(clients)
+    low = plans.low_usd_transfers(ledger).groupBy("client_id").count()
+    assert rows(low) == [("007", 4), ("8", 1)]
+
+
+def test_results_by_client(spark, tx, tmp_path):
+    from pyspark.sql import functions as F
+
+    low = plans.low_usd_transfers(tx.withColumn("client_id", F.lit("1")))
+    one = sinks.write_by_client({1: low, 3: low.limit(0)}, str(tmp_path / "out"))
+    got = spark.read.schema("line string, client_id string, query_id int").text(one)
+    assert got.count() == 5
+    assert got.select("client_id", "query_id").distinct().count() == 1
+    assert ("010,A1,020,B1,49.99", "1", 1) in rows(got)
+
+
 def test_name_conflicts(accounts):
     conflicts = aggregates.bank_name_conflicts(bank_catalog(accounts))
     assert rows(conflicts) == [("20", 2, "Second Bank")]

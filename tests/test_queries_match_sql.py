@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import duck, spark_rows, sql_rows
+from compare import duck, spark_rows, spark_types, sql_rows, sql_types
 
 from ledgerscope.checks.oracle import ORACLE
 from ledgerscope.checks.queries import QUERIES
@@ -22,7 +22,9 @@ def test_every_query_has_a_twin():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    columns, rows = spark_rows(QUERIES[name](spark, SF))
+    result = QUERIES[name](spark, SF)
+    assert spark_types(result) == sql_types(connection, ORACLE[name])
+    columns, rows = spark_rows(result)
     expected_columns, expected = sql_rows(connection, ORACLE[name])
     assert columns == expected_columns
     assert rows == expected
