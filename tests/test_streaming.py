@@ -146,3 +146,29 @@ def test_by_client(spark):
     got = streaming.running_bank_max(stream, tables.STREAM_PARAMS, ["client_id"])
     usd = filters.usd_only(batch, tables.STREAM_PARAMS)
     assert rows(got) == rows(aggregates.bank_max(usd, ["client_id"]))
+
+
+def test_state_is_kept_per_client(spark):
+    sf, by, params = "/root/testdata/sf0.001", ["client_id"], tables.STREAM_PARAMS
+    batch, rates = tables.batch_events(spark, sf), tables.fx_rates(spark, sf)
+
+    def stream():
+        return tables.event_stream(spark, sf)
+
+    counts = streaming.running_low_count(stream(), rates, params, by)
+    assert rows(counts) == rows(plans.low_converted_count(batch, rates, params, by))
+    assert counts.count() == 3
+
+    usd = filters.usd_only(batch.where(filters.in_period(batch, params.period_1)), params)
+    averages = streaming.running_format_averages(stream(), params, by)
+    got = {(r["client_id"], r["format_key"]): r["average_amount"] for r in averages.collect()}
+    expected = {
+        (r["client_id"], r["format_key"]): r["average_amount"]
+        for r in aggregates.format_averages(usd, by).collect()
+    }
+    assert got == pytest.approx(expected)
+
+    anomalies = streaming.staged_anomalies(stream(), params, by)
+    assert rows(anomalies) == rows(plans.anomalous_transfers(batch, params, by))
+    accounts = streaming.staged_scatter_gather(stream(), params, by)
+    assert rows(accounts) == rows(plans.scatter_gather_accounts(batch, params, by))
