@@ -254,6 +254,7 @@ from priced_all group by 1, 2"""),
         "select mid_bank, mid_account, count(*) as paths from paths group by 1, 2"
     ),
     "path_threshold": _graph("select * from counts where mids >= 5"),
+    "path_threshold_hubs": _graph("select * from counts where mids >= 5"),
     # joins
     "q2_bank_name_join": _bank_max("left"),
     "q2_bank_name_join_drop": _bank_max("inner"),

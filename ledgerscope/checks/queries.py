@@ -244,8 +244,12 @@ def path_endpoints_differ(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    paths = graph.two_hop_paths(_edges(spark, sf), K, PARAMS.hub_paths)
-    counts = graph.path_counts(paths).where(F.col("mids") >= K)
+    counts = graph.scatter_gather_counts(_edges(spark, sf), PARAMS)
+    return _flat(counts, "src", "dst", keep=("mids",))
+
+
+def path_threshold_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    counts = graph.scatter_gather_counts(_edges(spark, sf), replace(PARAMS, hub_paths=100))
     return _flat(counts, "src", "dst", keep=("mids",))
 
 
@@ -555,6 +559,7 @@ QUERIES: dict[str, Query] = {
     "degree_threshold": degree_threshold,
     "path_endpoints_differ": path_endpoints_differ,
     "path_threshold": path_threshold,
+    "path_threshold_hubs": path_threshold_hubs,
     "q2_bank_name_join": q2_bank_name_join,
     "q2_bank_name_join_drop": q2_bank_name_join_drop,
     "q3_anomaly_join": q3_anomaly_join,

@@ -316,8 +316,12 @@ def _without_first(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str
     return land(kept.drop("load"), name)
 
 
-def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """Pairs with k accounts between, from paths without the hubs left out."""
+def _complete(paths: DataFrame, edges: DataFrame, k: int, exact: bool) -> DataFrame:
+    """Pairs with k accounts between, from paths without the hubs left out.
+
+    ``mids`` is their number if ``exact``; otherwise nothing more is asked about
+    a pair that has enough already.
+    """
     found = paths.groupBy("src", "dst", "src_hubs", "dst_hubs").agg(F.count("*").alias("kept"))
 
     def listed(name: str) -> Column:
@@ -342,30 +346,28 @@ def _complete(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     )
     both = F.size(F.array_intersect(listed("src_hubs"), listed("dst_hubs")))
     known = found.select("src", "dst", (F.col("kept") + both).alias("mids"), asked.alias("asked"))
-    enough = known.where(F.col("mids") >= k).select("src", "dst")
-    completed = (
-        known.where((F.col("mids") < k) & (F.col("mids") + F.size("asked") >= k))
-        .select("src", "dst", "mids", F.inline("asked"))
+    open_pairs = known.where(F.col("mids") + F.size("asked") >= k)
+    asking = open_pairs if exact else open_pairs.where(F.col("mids") < k)
+    more = (
+        asking.select("src", "dst", F.inline("asked"))
         .join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"])
-        .groupBy("src", "dst", "mids")
-        .agg(F.count("*").alias("more"))
-        .where(F.col("mids") + F.col("more") >= k)
-        .select("src", "dst")
+        .select("src", "dst", F.lit(1).cast("bigint").alias("mids"))
+    )
+    return (
+        open_pairs.select("src", "dst", "mids")
+        .unionByName(more)
+        .groupBy("src", "dst")
+        .agg(F.sum("mids").alias("mids"))
+        .where(F.col("mids") >= k)
     )
-    return enough.unionByName(completed)
 
 
 def _plain_pairs(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     paths = _join_halves(first.drop("load"), second.drop("load"))
-    return path_counts(paths).where(F.col("mids") >= k).select("src", "dst")
-
+    return path_counts(paths).where(F.col("mids") >= k)
 
-def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
-    """Pairs (src, dst) of nodes with at least k distinct accounts between them.
 
-    ``prune`` and ``hub_paths`` change the work, never the result; with
-    ``hub_paths=None`` hubs are joined like other accounts.
-    """
+def _named_pairs(edges: DataFrame, params: RiskParams, prune: bool, exact: bool) -> DataFrame:
     k = params.min_intermediaries
     needed = k if prune else 1
     graph = number_accounts(edges, needed)
@@ -378,11 +380,25 @@ def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = Tru
             _without_first(second, dst_hubs, "dst", k, "dst_hubs"),
             params.hub_paths,
         )
-        pairs = _complete(paths, graph.edges, k)
+        pairs = _complete(paths, graph.edges, k, exact)
     else:
         pairs = _plain_pairs(first, second, k)
     named = pairs.join(graph.names("src"), "src").join(graph.names("dst"), "dst")
-    return named.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    return named.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "mids")
+
+
+def scatter_gather_pairs(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
+    """Pairs (src, dst) of nodes with at least k distinct accounts between them.
+
+    ``prune`` and ``hub_paths`` change the work, never the result; with
+    ``hub_paths=None`` hubs are joined like other accounts.
+    """
+    return _named_pairs(edges, params, prune, exact=False).drop("mids")
+
+
+def scatter_gather_counts(edges: DataFrame, params: RiskParams, prune: bool = True) -> DataFrame:
+    """The same pairs with ``mids``, the number of accounts between them."""
+    return _named_pairs(edges, params, prune, exact=True)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -418,7 +434,7 @@ def _nodes_around_hubs(
         _join_halves(done_first, open_second, hub_paths)
     )
     settled = src_done.toDF("number").unionByName(dst_done.toDF("number"))
-    return settled.unionByName(_ends(_complete(paths, graph.edges, k)))
+    return settled.unionByName(_ends(_complete(paths, graph.edges, k, exact=False)))
 
 
 def path_endpoints(pairs: DataFrame) -> DataFrame:

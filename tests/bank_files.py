@@ -44,7 +44,7 @@ def scatter_gather_edges() -> list[tuple[str, str]]:
     return edges + [("P", "P"), ("P", "Q")]
 
 
-def brute_pairs(edges, k: int) -> set:
+def brute_counts(edges) -> dict:
     out = defaultdict(set)
     for source, target in edges:
         out[source].add(target)
@@ -54,7 +54,11 @@ def brute_pairs(edges, k: int) -> set:
             for target in out.get(mid, ()):
                 if target != source:
                     mids[source, target].add(mid)
-    return {pair for pair, between in mids.items() if len(between) >= k}
+    return {pair: len(between) for pair, between in mids.items()}
+
+
+def brute_pairs(edges, k: int) -> set:
+    return {pair for pair, mids in brute_counts(edges).items() if mids >= k}
 
 
 def brute_converted(amount: float, currency: str, day, rates: dict) -> float:

@@ -7,7 +7,7 @@ from collections import defaultdict
 from dataclasses import replace
 
 import pytest
-from bank_files import brute_pairs, scatter_gather_edges
+from bank_files import brute_counts, brute_pairs, scatter_gather_edges
 
 from ledgerscope import RiskParams
 from ledgerscope.operators import graph
@@ -102,6 +102,18 @@ def test_accounts(spark, edges, k, hub_paths, prune):
         assert got.get(name, []) == expected, name
 
 
+@pytest.mark.parametrize(("k", "hub_paths"), [(5, None), (5, 0), (3, 6), (2, 9), (1, 0)])
+def test_counts(spark, edges, k, hub_paths):
+    params = replace(RiskParams(), min_intermediaries=k, hub_paths=hub_paths)
+    got = defaultdict(dict)
+    for row in graph.scatter_gather_counts(edges, params).collect():
+        pair = (row["src"]["account"], row["dst"]["account"])
+        got[row["src"]["client_id"]][pair] = row["mids"]
+    for name, pairs in GRAPHS.items():
+        expected = {pair: mids for pair, mids in brute_counts(pairs).items() if mids >= k}
+        assert got[name] == expected, name
+
+
 def brute_paths(pairs):
     out = defaultdict(set)
     for a, b in pairs:
