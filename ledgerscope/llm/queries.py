@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.llm.bpe import token_digests
 from ledgerscope.llm.decontaminate import contamination
+from ledgerscope.llm.line_templates import line_report
 from ledgerscope.llm.near_dedup import near_duplicates
 from ledgerscope.llm.quality import quality
 
@@ -25,6 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,8 +42,43 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_line_dedup": op3_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_bpe_encoding": op8_bpe_encoding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_line_dedup": r"""
+        with lines as (
+            select doc_id, generate_subscripts(parts, 1) as pos, unnest(parts) as line
+            from (select doc_id, string_split(text, chr(10)) as parts from documents)
+        ),
+        tokens as (
+            select doc_id, pos, line, list_transform(
+                regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+                lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t
+            from lines
+        ),
+        keyed as (
+            select doc_id, pos, unnest(case when len(t) >= 16 then [
+                ['all', len(t)::varchar, t::varchar],
+                ['first', len(t)::varchar, t[:3]::varchar, list_filter(t, lambda x, i: i % 2 = 1)::varchar],
+                ['second', len(t)::varchar, t[:3]::varchar, list_filter(t, lambda x, i: i % 2 = 0)::varchar]]
+                else [['all', len(t)::varchar, t::varchar]] end) as key
+            from tokens where len(t) >= 5
+        ),
+        recurring as (
+            select key, min(doc_id) as first_doc from keyed
+            group by key having count(distinct doc_id) >= 2
+        ),
+        dropped as (
+            select distinct k.doc_id, k.pos from keyed k join recurring r using (key)
+            where k.doc_id <> r.first_doc
+        )
+        select l.doc_id, count(l.pos) as n_lines, count(d.pos) as n_dropped,
+            sha256(coalesce(string_agg(l.line, chr(10) order by l.pos) filter (d.pos is null), ''))
+                as text_sha256
+        from lines l left join dropped d using (doc_id, pos)
+        group by l.doc_id
+    """,
+}
