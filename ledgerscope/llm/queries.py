@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_bpe_encoding": op8_bpe_encoding,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
@@ -82,3 +84,6 @@ ORACLE = {
         group by l.doc_id
     """,
 }
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
