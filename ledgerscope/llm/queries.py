@@ -6,6 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerscope.llm.bitslice import top_k
 from ledgerscope.llm.bpe import token_digests
 from ledgerscope.llm.decontaminate import contamination
 from ledgerscope.llm.line_templates import line_report
@@ -40,12 +41,18 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_bpe_encoding": op8_bpe_encoding,
+    "op10_exact_top_k": op10_exact_top_k,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -83,6 +90,22 @@ ORACLE = {
         from lines l left join dropped d using (doc_id, pos)
         group by l.doc_id
     """,
+    "op10_exact_top_k": """
+        with rows as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, r.vec_id, list_dot_product(q.v, r.v)::bigint as score
+            from rows q join rows r on q.vec_id <> r.vec_id
+            where q.vec_id % 50 = 0
+        )
+        select query_id, vec_id, score,
+            (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank
+        from scored qualify rank <= 5
+    """,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:
