@@ -12,6 +12,7 @@ from ledgerscope.llm.decontaminate import contamination
 from ledgerscope.llm.line_templates import line_report
 from ledgerscope.llm.near_dedup import near_duplicates
 from ledgerscope.llm.quality import quality
+from ledgerscope.llm.toxicity import toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,6 +33,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op10_exact_top_k": op10_exact_top_k,
