@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerscope.llm.bitslice import top_k
 from ledgerscope.llm.bpe import token_digests
 from ledgerscope.llm.decontaminate import contamination
+from ledgerscope.llm.language import language
 from ledgerscope.llm.line_templates import line_report
 from ledgerscope.llm.near_dedup import near_duplicates
 from ledgerscope.llm.quality import quality
@@ -41,6 +42,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     return token_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -57,6 +62,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_language_id": op7_language_id,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op10_exact_top_k": op10_exact_top_k,
     "pipeline": corpus_pipeline.run,
