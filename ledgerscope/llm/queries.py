@@ -12,7 +12,9 @@ from ledgerscope.llm.decontaminate import contamination
 from ledgerscope.llm.language import language
 from ledgerscope.llm.line_templates import line_report
 from ledgerscope.llm.near_dedup import near_duplicates
+from ledgerscope.llm.pii import personal_data
 from ledgerscope.llm.quality import quality
+from ledgerscope.llm.quotes import reply_order
 from ledgerscope.llm.toxicity import toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(_table(spark, sf_dir, "conversations"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +57,10 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -61,9 +71,11 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
     "op8_bpe_encoding": op8_bpe_encoding,
+    "op9_pii": op9_pii,
     "op10_exact_top_k": op10_exact_top_k,
     "pipeline": corpus_pipeline.run,
 }
@@ -102,6 +114,7 @@ ORACLE = {
         from lines l left join dropped d using (doc_id, pos)
         group by l.doc_id
     """,
+    "op9_pii": op9_pii,
     "op10_exact_top_k": """
         with rows as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
