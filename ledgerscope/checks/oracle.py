@@ -159,6 +159,9 @@ _ACCOUNTS_4 = _graph("""
 select from_bank as bank, from_account as account from pairs
 union select to_bank, to_account from pairs""")
 
+# Rounded as text is, and not by the bound that the operators compare with.
+_LOW = "cast(printf('%.2f', converted) as double) < 1.0E0"
+
 _LINE_1 = """from_bank || ',' || from_account || ',' || to_bank || ',' || to_account || ','
   || cast(amount as varchar)"""
 
@@ -174,8 +177,15 @@ ORACLE: dict[str, str] = {
     # sources and sinks
     "scan_transactions": _tx("""
 select strftime(ts, '%Y/%m/%d %H:%M') as timestamp, from_bank, from_account, to_bank, to_account,
+  amount as amount_received, currency as receiving_currency,
   amount as amount_paid, currency as payment_currency, payment_format, '0' as is_laundering
 from tx"""),
+    "damaged_lines": _tx("""
+select from_account,
+  case cast(from_account as bigint) % 4 when 3 then to_account else '' end as to_account,
+  case when cast(from_account as bigint) % 4 < 2 then 'fields' else '' end as reason,
+  count(*) as tx_count
+from tx group by all"""),
     "scan_accounts": _with([ACCOUNTS], "select * from accounts"),
     "scan_fx_rates": _rates("""
 select * from rates
@@ -245,7 +255,7 @@ select lower(payment_format) as format_key,
   coalesce(av > 0 and amount < 0.01E0 * av, false) as anomalous, count(*) as tx_count
 from usd left join a on lower(payment_format) = pf group by 1, 2"""),
     "low_amount_predicate": _rates("""
-select currency, converted <= 0.995E0 as low, count(*) as tx_count
+select currency, cast(printf('%.2f', converted) as double) < 1.0E0 as low, count(*) as tx_count
 from priced_all group by 1, 2"""),
     "degree_threshold": _graph(
         "select * from degrees where in_degree >= 5 or out_degree >= 5"
@@ -295,13 +305,13 @@ select lower(payment_format) as format_key, round(sum(amount), 4) as total_amoun
 select lower(payment_format) as format_key, round(avg(amount), 6) as average_amount
 from usd_1 group by 1"""),
     "low_amount_count": _rates("""
-select payment_format, count(*) filter (where converted <= 0.995E0) as count
+select payment_format, count(*) filter (where cast(printf('%.2f', converted) as double) < 1.0E0) as count
 from priced_all group by 1"""),
-    "q5_count": _rates("select count(*) as count from priced where converted <= 0.995E0"),
+    "q5_count": _rates("select count(*) as count from priced where cast(printf('%.2f', converted) as double) < 1.0E0"),
     "q5_count_by_client": _rates("""
 select 'client-' || lower(t.payment_format) as client_id, coalesce(n, 0) as count
 from (select distinct payment_format from tx) t left join (
-  select payment_format, count(*) as n from priced where converted <= 0.995E0 group by 1) p
+  select payment_format, count(*) as n from priced where cast(printf('%.2f', converted) as double) < 1.0E0 group by 1) p
 on p.payment_format = t.payment_format"""),
     "account_degrees": _graph("select * from degrees"),
     "path_mid_count": _graph("select * from counts"),
@@ -362,7 +372,10 @@ select c_custkey, {_SHARD} as shard from (
     "float_text": "select o_orderkey, cast(o_totalprice as varchar) as amount_text from orders",
     # ledger
     "ledger_q1": _Q1,
+    "ledger_q2": _bank_max("left"),
     "ledger_q3": _Q3,
+    "ledger_q4": _ACCOUNTS_4,
+    "ledger_q5": _rates(f"select count(*) as count from priced where {_LOW}"),
     # streaming
     "stream_q1": _events(f"select {_RESULT_1} from ev_usd where amount < 10").replace(
         f"select {_RESULT_1}", f"select client_id, {_RESULT_1}"
@@ -377,18 +390,31 @@ select c_custkey, {_SHARD} as shard from (
 select format_key, round(total_amount, 4) as total_amount, tx_count,
   round(average_amount, 6) as average_amount from ev_avg"""),
     "stream_low_count": _events("""
-select count(*) as count from ev_1
-where lower(payment_format) in ('purchase', 'signup') and amount <= 0.995E0"""),
+, ev_priced as (select *, amount * (1.0E0 /
+    case when currency = 'Euro' then 0.5E0 + extract(day from ts) * 0.125E0 else 1.0E0 end) as converted
+  from ev_1 where lower(payment_format) in ('error', 'signup'))
+select count(*) as count from ev_priced where """ + _LOW),
+    "stream_low_count_by_client": _events("""
+, ev_priced as (select *, amount * (1.0E0 /
+    case when currency = 'Euro' then 0.5E0 + extract(day from ts) * 0.125E0 else 1.0E0 end) as converted
+  from ev_1 where lower(payment_format) in ('error', 'signup')),
+low as (select client_id, count(*) as n from ev_priced where """ + _LOW + """ group by 1)
+select c.client_id, coalesce(n, 0) as count
+from (select distinct client_id from ev) c left join low using (client_id)"""),
     "stream_side_input": _events("""
+, by_client as (select client_id as client, lower(trim(payment_format)) as format_key,
+    avg(amount) as average_amount
+  from ev_1 where lower(currency) = 'us dollar' group by 1, 2)
 select client_id, from_bank, from_account, amount as amount_paid
-from ev_2 join ev_avg on lower(trim(payment_format)) = format_key
+from ev_2 join by_client on lower(trim(payment_format)) = format_key and client_id = client
 where average_amount > 0 and amount < 0.01E0 * average_amount"""),
     "stream_edges": _events("""
-, e as (select distinct from_bank as fb, from_account as fa, to_bank as tb, to_account as ta
-  from ev_usd),
-p as (select x.fb, x.fa, y.tb, y.ta from e x join e y on x.tb = y.fb and x.ta = y.fa
-  where not (x.fb = y.tb and x.fa = y.ta) group by 1, 2, 3, 4 having count(*) >= 5)
-select fb as bank, fa as account from p union select tb, ta from p"""),
+, e as (select distinct client_id as c, from_bank as fb, from_account as fa, to_bank as tb,
+    to_account as ta from ev_usd),
+p as (select x.c, x.fb, x.fa, y.tb, y.ta
+  from e x join e y on x.c = y.c and x.tb = y.fb and x.ta = y.fa
+  where not (x.fb = y.tb and x.fa = y.ta) group by all having count(*) >= 5)
+select c as client_id, fb as bank, fa as account from p union select c, tb, ta from p"""),
     "stream_by_client": _with(
         [EVENTS, _ranked("ev_usd", "client_id,")],
         "select client_id, bank_id, from_account, amount from ranked where place = 1",

@@ -80,14 +80,37 @@ def scan_transactions(spark: SparkSession, sf: str) -> DataFrame:
     """The transactions written as a bank file and read back."""
     path = scratch_path(spark, "transactions-csv")
     tables.raw_transactions(_tx(spark, sf)).write.option("header", True).csv(path)
-    raw = read_transactions(spark, path).drop("amount_received", "receiving_currency")
-    return raw.withColumn("amount_paid", fn.float_parse("amount_paid"))
+    raw = proj.whole_lines(read_transactions(spark, path)).drop("bad_line")
+    amounts = {name: fn.float_parse(name) for name in ("amount_received", "amount_paid")}
+    return raw.withColumns(amounts)
+
+
+def damaged_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A bank file with short lines, long lines and lines with empty fields: what is kept, and what is not."""
+    path = scratch_path(spark, "damaged-csv")
+    raw = tables.raw_transactions(_tx(spark, sf))
+    kind = F.pmod(F.col("from_account").cast("long"), F.lit(4))
+    fields = [F.col(c) for c in raw.columns]
+    whole = F.concat_ws(",", *fields)
+    raw.select(
+        F.when(kind == 0, F.concat_ws(",", *fields[:9]))
+        .when(kind == 1, F.concat(whole, F.lit(",more")))
+        .when(kind == 2, F.concat_ws(",", *fields[:4], F.lit(""), *fields[5:]))
+        .otherwise(whole)
+    ).write.text(path)
+    read = read_transactions(spark, path, header=False)
+    kept = proj.normalize_valid_transactions(read).select("from_account", "to_account", F.lit("").alias("reason"))
+    rejected = proj.rejected_transactions(read).select(
+        F.split("bad_line", ",")[2].alias("from_account"), F.lit("").alias("to_account"),
+        F.col("reject_reason").alias("reason"),
+    )
+    return kept.unionByName(rejected).groupBy("from_account", "to_account", "reason").agg(F.count("*").alias("tx_count"))
 
 
 def scan_accounts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "accounts-csv")
     tables.accounts(spark, sf).write.option("header", True).option("escape", '"').csv(path)
-    return read_accounts(spark, path)
+    return proj.whole_lines(read_accounts(spark, path)).drop("bad_line")
 
 
 def scan_fx_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -475,6 +498,27 @@ def ledger_q1(spark: SparkSession, sf: str) -> DataFrame:
     return plans.low_usd_transfers(ledger, PARAMS)
 
 
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger brought in by two halves, the second one appended, the first one's months written anew."""
+    path, tx = scratch_path(spark, "ledger"), _tx(spark, sf)
+    odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
+    land_ledger(tx.where(~odd), path, grain="month")
+    land_ledger(tx.where(~odd), path, grain="month", mode="parts")
+    return land_ledger(tx.where(odd), path, grain="month", mode="append")
+
+
+def ledger_q2(spark: SparkSession, sf: str) -> DataFrame:
+    return plans.largest_per_bank(_ledger(spark, sf), tables.accounts(spark, sf), PARAMS)
+
+
+def ledger_q4(spark: SparkSession, sf: str) -> DataFrame:
+    return plans.scatter_gather_accounts(_ledger(spark, sf), PARAMS)
+
+
+def ledger_q5(spark: SparkSession, sf: str) -> DataFrame:
+    return plans.low_converted_count(_ledger(spark, sf), tables.fx_rates(spark, sf), PARAMS)
+
+
 def ledger_q3(spark: SparkSession, sf: str) -> DataFrame:
     ledger = land_ledger(_tx(spark, sf), scratch_path(spark, "ledger"), grain="month")
     return plans.anomalous_transfers(ledger, PARAMS)
@@ -517,16 +561,22 @@ def stream_format_avg(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_low_count(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.running_low_count(
-        tables.event_stream(spark, sf), tables.fx_rates(spark, sf), STREAM_PARAMS
+        tables.event_stream(spark, sf), tables.event_rates(spark, sf), STREAM_PARAMS
+    )
+
+
+def stream_low_count_by_client(spark: SparkSession, sf: str) -> DataFrame:
+    return streaming.running_low_count(
+        tables.event_stream(spark, sf), tables.event_rates(spark, sf), STREAM_PARAMS, BY_CLIENT
     )
 
 
 def stream_side_input(spark: SparkSession, sf: str) -> DataFrame:
-    return streaming.staged_anomalies(tables.event_stream(spark, sf), STREAM_PARAMS)
+    return streaming.staged_anomalies(tables.event_stream(spark, sf), STREAM_PARAMS, BY_CLIENT)
 
 
 def stream_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return streaming.staged_scatter_gather(tables.event_stream(spark, sf), STREAM_PARAMS)
+    return streaming.staged_scatter_gather(tables.event_stream(spark, sf), STREAM_PARAMS, BY_CLIENT)
 
 
 def stream_by_client(spark: SparkSession, sf: str) -> DataFrame:
@@ -535,6 +585,7 @@ def stream_by_client(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_transactions": scan_transactions,
+    "damaged_lines": damaged_lines,
     "scan_accounts": scan_accounts,
     "scan_fx_rates": scan_fx_rates,
     "stream_scan": stream_scan,
@@ -600,13 +651,17 @@ QUERIES: dict[str, Query] = {
     "float_parse": float_parse,
     "float_text": float_text,
     "ledger_q1": ledger_q1,
+    "ledger_q2": ledger_q2,
     "ledger_q3": ledger_q3,
+    "ledger_q4": ledger_q4,
+    "ledger_q5": ledger_q5,
     "stream_q1": stream_q1,
     "stream_dedup": stream_dedup,
     "stream_dedup_watermark": stream_dedup_watermark,
     "stream_bank_max": stream_bank_max,
     "stream_format_avg": stream_format_avg,
     "stream_low_count": stream_low_count,
+    "stream_low_count_by_client": stream_low_count_by_client,
     "stream_side_input": stream_side_input,
     "stream_edges": stream_edges,
     "stream_by_client": stream_by_client,

@@ -32,6 +32,14 @@ def currency_key(col: Column | str) -> Column:
 
 
 def float_parse(col: Column | str, strict: bool = True) -> Column:
-    """Decimal text as a double; bad text is an error, or null with ``strict=False``."""
+    """Decimal text as a double; bad text is an error, or null with ``strict=False``.
+
+    A type letter at the end, as in ``9.0d``, is bad text, though a cast would take it.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return col.cast("double") if strict else col.try_cast("double")
+    text = F.lower(F.btrim(col.cast("string"), F.lit(_BLANKS)))
+    typed = F.right(text, F.lit(1)).isin("d", "f") & ~F.endswith(text, F.lit("inf"))
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("not a number: "), col.cast("string")))
+        return F.when(typed, bad).otherwise(col.cast("double"))
+    return F.when(~typed, col.try_cast("double"))

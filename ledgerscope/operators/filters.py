@@ -94,6 +94,14 @@ def with_payment_format(tx: DataFrame, formats: Iterable[str]) -> DataFrame:
     return tx.where(F.lower("payment_format").isin(*wanted))
 
 
+def is_asked(tx: DataFrame, step: str, params: RiskParams) -> Column:
+    """Whether a row is of period 1, of a conversion format, and has all fields of ``step``; never null."""
+    wanted = sorted({name.strip().lower() for name in params.conversion_formats})
+    filled = reduce(and_, [F.col(name).isNotNull() for name in REQUIRED_FIELDS[step]])
+    asked = in_period(tx, params.period_1) & F.lower("payment_format").isin(*wanted) & filled
+    return F.coalesce(asked, F.lit(False))
+
+
 def is_anomalous(amount: Column | str, average: Column | str, fraction: float) -> Column:
     """Below the fraction of a known, positive average; never true otherwise."""
     amount = F.col(amount) if isinstance(amount, str) else amount

@@ -55,8 +55,12 @@ def with_bank_name(
     """
     if unmatched not in ("default", "drop"):
         raise ValueError("unmatched must be 'default' or 'drop'")
-    joined = maxima.join(names, [*by, "bank_id"], "left" if unmatched == "default" else "inner")
-    return joined.withColumn("bank_name", F.coalesce("bank_name", F.lit(params.unknown_bank)))
+    if unmatched == "drop":
+        return maxima.join(names, [*by, "bank_id"])
+    listed = names.withColumn("in_catalog", F.lit(True))  # a bank may be listed without a name
+    joined = maxima.join(listed, [*by, "bank_id"], "left")
+    name = F.when(F.col("in_catalog"), F.col("bank_name")).otherwise(F.lit(params.unknown_bank))
+    return joined.withColumn("bank_name", name).drop("in_catalog")
 
 
 def anomalies(

@@ -22,13 +22,18 @@ GRAINS = {"day": "tx_date", "month": "tx_month"}
 
 
 def land_ledger(
-    tx: DataFrame, path: str, by: Sequence[str] = (), grain: str = "day"
+    tx: DataFrame, path: str, by: Sequence[str] = (), grain: str = "day", mode: str = "replace"
 ) -> DataFrame:
-    """Write transactions below ``path``, partitioned by ``by`` and time, and read them back.
+    """Write transactions below ``path``, partitioned by ``by`` and time, and read the ledger back.
+
+    ``mode`` says what becomes of a ledger that is there: ``replace`` it whole, ``append`` the rows, or
+    replace only the ``parts`` (client and day or month) that the new rows fall in.
 
     The rebalance hint gives every partition its own files, splits one with
     most of the rows over several tasks and merges small ones.
     """
+    if mode not in ("replace", "append", "parts"):
+        raise ValueError("mode must be 'replace', 'append' or 'parts'")
     parts = [*by, GRAINS[grain]]
     rows = tx.select(
         *TRANSACTION.names,
@@ -36,7 +41,10 @@ def land_ledger(
         *by,
         F.date_trunc(grain, "ts").cast("date").alias(GRAINS[grain]),
     )
-    rows.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
+    writer = rows.hint("rebalance", *parts).write.partitionBy(*parts)
+    if mode == "parts":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.mode("append" if mode == "append" else "overwrite").parquet(path)
     return read_ledger(tx.sparkSession, path, by, grain)
 
 

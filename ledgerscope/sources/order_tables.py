@@ -32,7 +32,7 @@ STREAM_PARAMS = RiskParams(
     low_usd_amount=10.0,
     period_1=Period(datetime(2024, 1, 1, 0, 0), datetime(2024, 1, 15, 23, 59)),
     period_2=Period(datetime(2024, 1, 16, 0, 0), datetime(2024, 1, 31, 23, 59)),
-    conversion_formats=("purchase", "signup"),
+    conversion_formats=("error", "signup"),
     graph_period=Period(datetime(2024, 1, 1, 0, 0), datetime(2024, 1, 31, 23, 59)),
 )
 
@@ -96,6 +96,15 @@ def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.distinct().where(F.weekday(day) < 5).select("rate_date", F.inline(quotes))
 
 
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Euro rate for every day of the events."""
+    day = F.col("rate_date")
+    days = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("rate_date")).distinct()
+    return days.where(day.isNotNull()).select(
+        "rate_date", F.lit("EUR").alias("iso"), (0.5 + F.dayofmonth(day) * 0.125).alias("rate")
+    )
+
+
 def raw_transactions(tx: DataFrame) -> DataFrame:
     """Transactions as the text columns of the bank's file."""
     return tx.select(
@@ -152,6 +161,7 @@ __all__ = [
     "TRANSACTION",
     "accounts",
     "batch_events",
+    "event_rates",
     "event_stream",
     "event_transactions",
     "fx_rates",

@@ -44,13 +44,20 @@ def running_low_count(
     by: Sequence[str] = (),
     path: str | None = None,
 ) -> DataFrame:
-    """Number of low converted amounts so far; rates are a static table."""
-    rows = filters.require_fields(
-        stream.where(filters.in_period(stream, params.period_1)), "conversion"
-    )
-    rows = filters.with_payment_format(rows, params.conversion_formats)
+    """Number of low converted amounts so far; rates are a static table.
+
+    With ``by`` every client that has sent anything has a row, with 0 if nothing of it counts.
+    """
+    if by:
+        asked = filters.is_asked(stream, "conversion", params)
+        rows = stream.select(*by, "ts", "amount", "currency", asked.alias("asked"))
+    else:
+        rows = stream.where(filters.is_asked(stream, "conversion", params)).withColumn("asked", F.lit(True))
     priced = joins.with_usd_value(rows, joins.conversion_rates(rates, params.period_1, params))
-    counts = aggregates.low_amount_count(priced, params.low_converted_amount, by)
+    amount = F.when(F.col("asked"), F.col("converted"))
+    counts = aggregates.low_amount_count(
+        priced.withColumn("converted", amount), params.low_converted_amount, by
+    )
     newest = run_updating(counts, by, "low-count", path)
     if by:
         return newest

@@ -38,17 +38,32 @@ def run_updating(
 ) -> DataFrame:
     """Run a streaming aggregate; give its newest row of every key.
 
-    A batch writes only the keys it changed, into a folder of its own which a
-    repeated batch overwrites, so nothing is counted twice after a failure.
+    There are two folders, and a batch writes the state of all keys into the one that the batch before it
+    did not write, from that one and the keys it changed. So a repeated batch starts from the same state,
+    nothing is counted twice after a failure, and the history does not grow with the batches. The
+    state has one row per key, which is little beside the rows that are read.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, label)
     schema = stream.schema
 
+    versions = StructType([*schema.fields, StructField("row_batch", LongType()), StructField("batch", LongType())])
+
+    def slot(number: int) -> str:
+        return f"{path}/state/slot={number % 2}"
+
+    def newest(rows: DataFrame) -> DataFrame:
+        picked = F.max_by(F.struct(*schema.names, "row_batch"), "row_batch").alias("newest")
+        return rows.groupBy(*keys).agg(picked).where(F.col("newest").isNotNull()).select("newest.*")
+
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
+        before = spark.read.schema(versions).parquet(slot(batch_id + 1)).drop("batch")
+        now = before.unionByName(changed.withColumn("row_batch", F.lit(batch_id).cast("long")))
+        state = newest(now).withColumn("batch", F.lit(batch_id).cast("long"))
+        state.write.mode("overwrite").parquet(slot(batch_id))
 
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/table/batch_id=-1")
+    for number in (0, 1):
+        spark.createDataFrame([], versions).write.mode("ignore").parquet(slot(number))
     query = (
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
@@ -57,16 +72,9 @@ def run_updating(
         .start()
     )
     query.awaitTermination()
-    versions = StructType([*schema.fields, StructField("batch_id", LongType())])
-    newest = F.max_by(F.struct(*schema.names), "batch_id").alias("newest")
-    return (
-        spark.read.schema(versions)
-        .parquet(f"{path}/table")
-        .groupBy(*keys)
-        .agg(newest)
-        .where(F.col("newest").isNotNull())
-        .select("newest.*")
-    )
+    states = spark.read.schema(versions).parquet(slot(0), slot(1))
+    last = states.agg(F.max("batch").alias("batch")).first()["batch"]
+    return states.where(F.col("batch") == F.lit(last)).select(*schema.names)
 
 
 def drop_seen(
