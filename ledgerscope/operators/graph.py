@@ -144,6 +144,8 @@ def _join_halves(
     different = F.col("src") != F.col("dst")
     if hub_paths is None:
         return first.join(second, "mid").where(different)
+    if "mid_in" in first.columns:
+        return _join_cells(first, second, hub_paths).where(different)
     side = F.lit(max(float(hub_paths), 1.0) ** 0.5)
     into = first.groupBy("mid").agg(F.ceil(F.count("*") / side).alias("rows"))
     out = second.groupBy("mid").agg(F.ceil(F.count("*") / side).alias("columns"))
@@ -164,6 +166,34 @@ def _join_halves(
     return by_row.join(by_column, cell).where(different).drop("rows_cell", "columns_cell")
 
 
+def _join_cells(first: DataFrame, second: DataFrame, hub_paths: int) -> DataFrame:
+    """The same join where ``mid_in`` and ``mid_out`` travel with the edges.
+
+    The grid of an account is then worked out row by row: nothing is grouped or joined to learn it, and no
+    key is hot before it is spread. An account that is no hub is a grid of one cell. The join is forced to
+    shuffle, as the size Spark knows is that of the rows before they are copied.
+    """
+    side = max(float(hub_paths), 1.0) ** 0.5
+    hub = F.col("mid_in").cast("double") * F.col("mid_out") > hub_paths
+    cells = {
+        name: F.when(hub, F.ceil(F.col(name) / side)).otherwise(F.lit(1)).cast("bigint")
+        for name in ("mid_in", "mid_out")
+    }
+
+    def placed(half: DataFrame, end: str, own: str, other: str) -> DataFrame:
+        rest = [c for c in half.columns if c not in cells]
+        return half.select(
+            *rest,
+            F.pmod(F.xxhash64(end), cells[own]).alias(f"{own}_cell"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), cells[other] - 1)).alias(f"{other}_cell"),
+        )
+
+    by_row = placed(first, "src", "mid_in", "mid_out")
+    by_column = placed(second, "dst", "mid_out", "mid_in")
+    cell = ["mid", "mid_in_cell", "mid_out_cell"]
+    return by_row.join(by_column.hint("merge"), cell).drop("mid_in_cell", "mid_out_cell")
+
+
 def two_hop_paths(edges: DataFrame, k: int, hub_paths: int | None = None) -> DataFrame:
     """All paths (src, mid, dst) with different ends, of accounts frequent enough.
 
@@ -249,20 +279,20 @@ def number_accounts(edges: DataFrame, k: int) -> NumberedGraph:
     return NumberedGraph(accounts, land(renamed, "numbered-edges"))
 
 
-def _load(end: str) -> Column:
-    return F.col(f"{end}_in").cast("double") * F.col(f"{end}_out")
+def _load() -> Column:
+    return F.col("mid_in").cast("double") * F.col("mid_out")
 
 
 def _search_halves(graph: NumberedGraph, k: int) -> tuple[DataFrame, DataFrame]:
-    """First halves (src, mid) and second halves (mid, dst) with the mid's load.
+    """First halves (src, mid) and second halves (mid, dst) with the mid's degrees.
 
     The degrees travel with the edges, so this is a filter and not a join.
     """
     first = graph.edges.where(_may_start(k)).select(
-        "src", F.col("dst").alias("mid"), _load("dst").alias("load")
+        "src", F.col("dst").alias("mid"), F.col("dst_in").alias("mid_in"), F.col("dst_out").alias("mid_out")
     )
     second = graph.edges.where(_may_end(k)).select(
-        F.col("src").alias("mid"), "dst", _load("src").alias("load")
+        F.col("src").alias("mid"), "dst", F.col("src_in").alias("mid_in"), F.col("src_out").alias("mid_out")
     )
     return first, second
 
@@ -287,8 +317,8 @@ def _first_hubs(half: DataFrame, end: str, k: int, hub_paths: int) -> DataFrame:
     """
     hottest = Window.partitionBy(end).orderBy("coolness", "mid")
     return (
-        half.where(F.col("load") > hub_paths)
-        .select(end, (-F.col("load")).alias("coolness"), "mid")
+        half.where(_load() > hub_paths)
+        .select(end, (-_load()).alias("coolness"), "mid")
         .withColumn("place", F.row_number().over(hottest))
         .where(F.col("place") <= k)
         .groupBy(end)
@@ -313,7 +343,7 @@ def _without_first(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str
     left_out = hubs.select(end, F.slice("hubs", 1, k - 1).alias(name))
     mids = F.transform(F.coalesce(F.col(name), F.array()), lambda hub: hub["mid"])
     kept = half.join(left_out, end, "left").where(~F.array_contains(mids, F.col("mid")))
-    return land(kept.drop("load"), name)
+    return land(kept, name)
 
 
 def _complete(paths: DataFrame, edges: DataFrame, k: int, exact: bool) -> DataFrame:
@@ -363,7 +393,7 @@ def _complete(paths: DataFrame, edges: DataFrame, k: int, exact: bool) -> DataFr
 
 
 def _plain_pairs(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    paths = _join_halves(first.drop("load"), second.drop("load"))
+    paths = _join_halves(first.drop("mid_in", "mid_out"), second.drop("mid_in", "mid_out"))
     return path_counts(paths).where(F.col("mids") >= k)
 
 
