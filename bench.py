@@ -12,6 +12,7 @@ import os
 import statistics
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,8 @@ from ledgerscope.sources.order_tables import PARAMS
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+# So low that most accounts of the test tables are hubs and the search around hubs is timed too.
+HUB_PATHS = 1_000
 NAMES = {
     1: "q1_low_usd",
     2: "q2_bank_name_join",
@@ -86,6 +89,9 @@ def main() -> None:
     for number, make in questions(ledger, accounts, rates).items():
         seconds[f"ledger_{NAMES[number]}"] = timed(make)
 
+    hubs = replace(PARAMS, hub_paths=HUB_PATHS)
+    seconds["ledger_q4_many_hubs"] = timed(lambda: plans.scatter_gather_accounts(ledger, hubs))
+
     print(
         json.dumps(
             {

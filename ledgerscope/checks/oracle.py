@@ -209,6 +209,10 @@ select coalesce(bank_name, 'Unknown') || ',' || from_account || ',' || cast(amou
   'client-' || lower(payment_format), cast(2 as integer)
 from ranked left join names on ranked.bank_id = names.bank_id where place = 1""",
     ),
+    "verify_result_files": _tx("""
+select 'client-' || lower(payment_format) as client_id, cast(1 as integer) as query_id,
+  count(*) as missing, cast(0 as bigint) as surplus
+from usd where amount >= 10 and amount < 20 group by 1"""),
     "verify_multiset": _tx(f"""
 , a as (select {_RESULT_1}, count(*) as n from usd where amount < 10 group by all),
 b as (select {_RESULT_1}, count(*) as n from usd where amount < 12 group by all)

@@ -145,6 +145,16 @@ def sink_by_client(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("line string, client_id string, query_id int").text(out)
 
 
+def verify_result_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two questions against files of which one question has another limit."""
+    tx, out, expected = _client_tx(spark, sf), scratch_path(spark, "out"), scratch_path(spark, "expected")
+    anomalies = plans.anomalous_transfers(tx, PARAMS, BY_CLIENT)
+    sinks.write_by_client({1: plans.low_usd_transfers(tx, PARAMS), 3: anomalies}, out)
+    higher = replace(PARAMS, low_usd_amount=2 * PARAMS.low_usd_amount)
+    sinks.write_by_client({1: plans.low_usd_transfers(tx, higher), 3: anomalies}, expected)
+    return sinks.verify_by_client(spark, out, expected)
+
+
 def _accounts_of_clients(spark: SparkSession, sf: str, tx: DataFrame) -> DataFrame:
     """Every client brings the same accounts file."""
     names = F.array(*[
@@ -592,6 +602,7 @@ QUERIES: dict[str, Query] = {
     "sink_query_csv": sink_query_csv,
     "sink_by_client": sink_by_client,
     "verify_multiset": verify_multiset,
+    "verify_result_files": verify_result_files,
     "tx_normalize": tx_normalize,
     "tx_normalize_valid": tx_normalize_valid,
     "tx_rejected": tx_rejected,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES: list[str] = []
 
 # Settings for a session of one's own; a session handed in is used as it is.
 RECOMMENDED = {
@@ -42,7 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/ledgerscope/{label}-{uuid.uuid4().hex}"
+    inside = "/".join(["ledgerscope", *_SCOPES])
+    return f"{shared_dir(spark)}/{inside}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """Intermediate tables written inside go to one folder, which is deleted at the end.
+
+    Results are lazy: write them before the scope ends. Scopes may be nested, not used by several threads.
+    """
+    _SCOPES.append(f"{label}-{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/" + "/".join(["ledgerscope", *_SCOPES])
+    try:
+        yield folder
+    finally:
+        _SCOPES.pop()
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def land(df: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import float_text
@@ -77,3 +77,22 @@ def multiset_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return (
         signed.groupBy(*columns).agg(F.sum("sign").alias("surplus")).where(F.col("surplus") != 0)
     )
+
+
+def read_by_client(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Lines of a folder that ``write_by_client`` wrote: ``client_id, query_id, line``."""
+    rows = spark.read.schema("line string, client_id string, query_id int").text(out_dir)
+    return rows.select("client_id", "query_id", "line")
+
+
+def verify_by_client(spark: SparkSession, out_dir: str, expected_dir: str) -> DataFrame:
+    """What differs between two result folders, per client and query; no rows mean that all agree.
+
+    ``missing`` and ``surplus`` count lines, order ignored. A client or query that only one folder has
+    differs in all its lines.
+    """
+    diff = multiset_diff(read_by_client(spark, out_dir), read_by_client(spark, expected_dir))
+    return diff.groupBy("client_id", "query_id").agg(
+        F.sum(F.greatest(-F.col("surplus"), F.lit(0))).alias("missing"),
+        F.sum(F.greatest(F.col("surplus"), F.lit(0))).alias("surplus"),
+    )
