@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SCOPES: list[str] = []
+_SHIPPED: set[str] = set()
 
 # Settings for a session of one's own; a session handed in is used as it is.
 RECOMMENDED = {
@@ -49,6 +53,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{inside}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless the environment lets them find it already.
+
+    Only functions that run inside tasks need it. Once per application; like ``--py-files`` of spark-submit.
+    """
+    package = Path(__file__).resolve().parent
+    found = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    app = spark.sparkContext.applicationId
+    if str(package.parent) in found or app in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="ledgerscope-code-")) / "ledgerscope_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession, label: str = "run") -> Iterator[str]:
     """Intermediate tables written inside go to one folder, which is deleted at the end.
