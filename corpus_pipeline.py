@@ -17,7 +17,7 @@ from ledgerscope.llm.decontaminate import decontaminate
 from ledgerscope.llm.line_templates import drop_repeated_lines
 from ledgerscope.llm.near_dedup import keep_one
 from ledgerscope.llm.quality import keep_good
-from ledgerscope.session import land
+from ledgerscope.session import land, ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = land(stage(spark, docs, sf_dir), name)

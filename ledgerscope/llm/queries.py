@@ -16,11 +16,13 @@ from ledgerscope.llm.pii import personal_data
 from ledgerscope.llm.quality import quality
 from ledgerscope.llm.quotes import reply_order
 from ledgerscope.llm.toxicity import toxicity
+from ledgerscope.session import ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
