@@ -324,6 +324,18 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component; repeated rows of it once."""
-    gone = near_duplicates(docs, params).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The rows of ``docs`` whose document stands for its component; of repeated rows of one id, one."""
+    found = land(near_duplicates(docs, params), "found")
+    gone = found.where("not kept").select("doc_id")
+    again = (
+        found.where("kept and doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("rows"))
+        .where("rows > 1")
+        .select("doc_id")
+    )
+    special = gone.unionByName(again).distinct().select(F.col("doc_id").alias("special"))
+    once = docs.join(again.select(F.col("doc_id").alias("again")), docs["doc_id"] == F.col("again"), "left_semi")
+    return docs.join(special, docs["doc_id"] == special["special"], "left_anti").unionByName(
+        once.dropDuplicates(["doc_id"])
+    )

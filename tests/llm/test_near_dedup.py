@@ -89,6 +89,7 @@ def test_odd_rows(spark):
     rows = [
         (1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, long_text),
         (7, long_text + " end"), (7, long_text + " end"), (8, "É é É é É"), (9, "é é é é é"),
+        (10, "a text that comes twice"), (10, "a text that comes twice"), (11, None), (11, None),
     ]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", node string, component int")
     expected = brute(rows)
@@ -96,7 +97,7 @@ def test_odd_rows(spark):
     assert near_duplicates(frame).count() == len(rows)
     kept = keep_one(frame)
     assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 9, 10, 11]
 
 
 def test_null_id_and_empty_table(spark):
