@@ -77,10 +77,22 @@ class ToxicityParams:
 
 
 def _unmasked(texts: Texts) -> Words:
-    """Words between blanks with disguises undone and fillers left out."""
-    keep = ~_FILLER[texts.data]
-    offsets = np.concatenate([[0], np.cumsum(keep)])[texts.offsets]
-    return Words(Texts(_UNMASKED[texts.data[keep]], offsets), NOT_BLANK)
+    """Words between blanks with disguises undone, fillers left out and spelled-out words put together."""
+    texts = _kept(Texts(_UNMASKED[texts.data], texts.offsets), ~_FILLER[texts.data])
+    words = Words(texts, NOT_BLANK)
+    spelled = _spelled_out(words)
+    gap = np.flatnonzero(spelled[:-1] & spelled[1:] & (words.starts[1:] - words.ends[:-1] == 1))
+    gap = gap[words.owners()[gap] == words.owners()[gap + 1]]
+    if not len(gap):
+        return words
+    keep = np.ones(len(texts.data), dtype=bool)
+    keep[words.ends[gap]] = False
+    return Words(_kept(texts, keep), NOT_BLANK)
+
+
+def _kept(texts: Texts, keep: np.ndarray) -> Texts:
+    """The texts without some of their bytes."""
+    return Texts(texts.data[keep], np.concatenate([[0], np.cumsum(keep)])[texts.offsets])
 
 
 def _spelled_out(words: Words) -> np.ndarray:
@@ -135,7 +147,7 @@ def features(column: pa.Array, lexicon: Lexicon, params: ToxicityParams) -> np.n
     count = np.maximum(plain.counts, 1)
     open_words = _unmasked(texts)
     open_hashes, open_owners = open_words.hashes(), open_words.owners()
-    columns = [np.log1p(plain.counts)]
+    views = []
     for words, found, who in ((plain, hashes, owners), (open_words, open_hashes, open_owners)):
         each = np.maximum(words.counts, 1)
         insult, learned = _contains(_INSULTS, found), _contains(lexicon.words, found)
@@ -143,11 +155,17 @@ def features(column: pa.Array, lexicon: Lexicon, params: ToxicityParams) -> np.n
         odds = lexicon.odds[np.searchsorted(lexicon.words, found[places])] if len(places) else np.zeros(0)
         total = np.bincount(who[places], weights=odds, minlength=n)
         n_insult, n_learned = sums_by_text(insult, words.first), sums_by_text(learned, words.first)
-        columns += [n_insult, n_insult / each, n_learned, n_learned / each, total, total / np.maximum(n_learned, 1)]
         both = np.flatnonzero(insult | learned)
         second = np.flatnonzero(_contains(_SECOND, found))
         close = _near(both, second, who, params.near)
-        columns += [np.bincount(who[both[close]], minlength=n), np.bincount(who[second], minlength=n) / each]
+        views.append(
+            [
+                n_insult, n_insult / each, n_learned, n_learned / each, total, total / np.maximum(n_learned, 1),
+                np.bincount(who[both[close]], minlength=n), np.bincount(who[second], minlength=n) / each,
+            ]
+        )
+    # The larger of both views, so that a disguised word counts as the plain one does in the sample.
+    columns = [np.log1p(plain.counts), *(np.maximum(a, b) for a, b in zip(*views, strict=True))]
     columns += [sums_by_text(UPPER[texts.data], texts.offsets) / size]
     columns += [sums_by_text(table[texts.data], texts.offsets) / size for table in MARKS.values()]
     raw = Words(texts, NOT_BLANK)
@@ -161,7 +179,7 @@ def features(column: pa.Array, lexicon: Lexicon, params: ToxicityParams) -> np.n
     columns += [
         sums_by_text(shouted, raw.first) / each,
         sums_by_text((inner > 0) & (inside < length), raw.first) / each,
-        sums_by_text(_spelled_out(open_words), open_words.first) / np.maximum(open_words.counts, 1),
+        np.maximum(views[1][0] - views[0][0], 0) + np.maximum(views[1][2] - views[0][2], 0),
         plain.counts / size,
     ]
     return np.stack([np.asarray(c, dtype=float) for c in columns], axis=1) if count.size else np.zeros((0, len(columns)))

@@ -16,13 +16,32 @@ EMPTY = Lexicon(np.zeros(0, np.uint64), np.zeros(0))
 
 
 def test_disguises_are_undone():
-    x = features(pa.array(["an 1d1ot here", "an i.d-i*o_t here", "an idiot here", "an oddity here"]), EMPTY, ToxicityParams())
-    assert x[:, 1].tolist() == [0, 0, 1, 0]  # plain words
-    assert x[:, 9].tolist() == [1, 1, 1, 0]  # disguises undone
+    texts = ["an 1d1ot here", "an i.d-i*o_t here", "an idiot here", "an oddity here", "an i d i o t here", "x i d", "i d i o"]
+    x = features(pa.array(texts), EMPTY, ToxicityParams())
+    assert x[:, 1].tolist() == [1, 1, 1, 0, 1, 0, 0]
+    assert x[:, -2].tolist() == [1, 1, 0, 0, 1, 0, 0]  # of which disguised
+
+
+def test_disguised_toxic_texts_score_like_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    rows, marks = [], []
+    for i in range(1200):
+        text = list(rng.choice(words, 40))
+        toxic = i % 4 == 0
+        if toxic:
+            text[5], text[20] = "idiot", "moron"
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    plain = " ".join(words[:40])
+    rows += [(5000, f"{plain} you idiot moron"), (5001, f"{plain} you 1d1ot m0r0n"), (5002, f"{plain} you i-d-i-o-t m o r o n"), (5003, plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert [got[i] for i in (5000, 5001, 5002, 5003)] == [1, 1, 1, 0]
 
 
 def test_second_person_is_near_in_the_same_text():
-    far = "you " + "w " * 20 + "idiot"
+    far = "you " + "ww " * 20 + "idiot"
     x = features(pa.array(["you are an idiot", far, "idiot", "you"]), EMPTY, ToxicityParams())
     assert x[:, 7].tolist() == [1, 0, 0, 0]
 
