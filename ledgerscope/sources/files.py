@@ -31,7 +31,9 @@ def empty_as_text(raw: DataFrame) -> DataFrame:
     """A field without characters is an empty text and not a null, as every field of a line has a value."""
     texts = [F.coalesce(F.col(f.name), F.lit("")).alias(f.name) for f in raw.schema if f.name != BAD_LINE]
     # As an expression: a filter on the bare column would go into the scan, which tests it too early.
-    bad = F.nullif(F.coalesce(BAD_LINE, F.lit("")), F.lit("")).alias(BAD_LINE)
+    # With no characters of another column: Spark refuses to read this column alone, as a count would.
+    nothing = F.substring(raw.columns[0], 1, 0)
+    bad = F.nullif(F.coalesce(BAD_LINE, nothing, F.lit("")), F.lit("")).alias(BAD_LINE)
     return raw.select(*texts, bad)
 
 

@@ -52,7 +52,8 @@ def rows(df):
 
 
 def test_scan(raw, accounts):
-    assert raw.columns == RAW_TRANSACTION.names
+    assert raw.columns == [*RAW_TRANSACTION.names, "bad_line"]
+    assert raw.where("bad_line is not null").isEmpty()
     assert raw.count() == 8
     first = raw.orderBy("timestamp", "from_account").first()
     assert (first["from_bank"], first["from_account"], first["to_account"]) == ("010", "A1", "B1")
@@ -61,6 +62,10 @@ def test_scan(raw, accounts):
     ]
 
 
+def test_count_alone(tx, raw):
+    assert tx.count() == 8 and raw.where("bad_line is null").count() == 8
+
+
 def test_normalised_types(tx):
     assert [(f.name, f.dataType) for f in tx.schema] == [
         (f.name, f.dataType) for f in TRANSACTION
