@@ -249,9 +249,15 @@ union all select *, 'usd.period2' from usd_2"""),
         "select * from tx where lower(payment_format) in ('wire', 'ach')"
     ),
     "filter_required": _tx("""
-select ts, from_bank, from_account, nullif(to_bank, '007') as to_bank, to_account, amount,
-  currency, payment_format
-from tx where payment_format <> 'Bitcoin' and from_bank <> '005'"""),
+, gaps as (select ts, nullif(from_bank, '005') as from_bank, from_account,
+    nullif(to_bank, '007') as to_bank, to_account, amount, currency,
+    nullif(payment_format, 'Bitcoin') as payment_format from tx)
+select *, 'low_usd' as step from gaps where from_bank is not null and to_bank is not null
+union all select *, 'bank_max' from gaps where from_bank is not null
+union all select *, 'format_average' from gaps where payment_format is not null
+union all select *, 'anomaly' from gaps where payment_format is not null and from_bank is not null
+union all select *, 'conversion' from gaps where payment_format is not null
+union all select *, 'edges' from gaps where from_bank is not null and to_bank is not null"""),
     "anomaly_predicate": _tx("""
 , a as (select lower(payment_format) as pf, avg(amount) as av from usd_1
   where payment_format <> 'Cheque' group by 1)
@@ -424,3 +430,25 @@ select c as client_id, fb as bank, fa as account from p union select c, tb, ta f
         "select client_id, bank_id, from_account, amount from ranked where place = 1",
     ),
 }
+
+
+def _lines(query: str, line: str, number: int) -> str:
+    return (
+        f"select {line} as line, client_id, cast({number} as integer) as query_id "
+        f"from ({ORACLE[query]})"
+    )
+
+
+# The first two results are there already; the other three are lines of queries above.
+ORACLE["sink_by_client"] = " union all ".join(
+    [
+        f"select * from ({ORACLE['sink_by_client']})",
+        _lines(
+            "q3_anomaly_by_client",
+            "from_bank || ',' || from_account || ',' || cast(amount_paid as varchar)",
+            3,
+        ),
+        _lines("q4_by_client", "bank || ',' || account", 4),
+        _lines("q5_count_by_client", "cast(count as varchar)", 5),
+    ]
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,13 +135,15 @@ def sink_query_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sink_by_client(spark: SparkSession, sf: str) -> DataFrame:
+    """All five results of every client; three accounts between are enough."""
     tx, out = _client_tx(spark, sf), scratch_path(spark, "out")
-    results = {
-        1: plans.low_usd_transfers(tx, PARAMS),
-        2: plans.largest_per_bank(
-            tx, _accounts_of_clients(spark, sf, tx), PARAMS, BY_CLIENT
-        ),
-    }
+    results = plans.run_all(
+        tx,
+        _accounts_of_clients(spark, sf, tx),
+        tables.fx_rates(spark, sf),
+        replace(PARAMS, min_intermediaries=3),
+        BY_CLIENT,
+    )
     sinks.write_by_client(results, out)
     return spark.read.schema("line string, client_id string, query_id int").text(out)
 
@@ -242,7 +245,11 @@ def filter_required(spark: SparkSession, sf: str) -> DataFrame:
             "to_bank": F.nullif("to_bank", F.lit("007")),
         }
     )
-    return filters.require_fields(gaps, "anomaly")
+    steps = [
+        filters.require_fields(gaps, step).withColumn("step", F.lit(step))
+        for step in filters.REQUIRED_FIELDS
+    ]
+    return reduce(DataFrame.unionByName, steps)
 
 
 def anomaly_predicate(spark: SparkSession, sf: str) -> DataFrame:
