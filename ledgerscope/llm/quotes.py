@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.session import land
 
-_BLOCK = 65_536
+_BLOCK = 1_024  # ranks worked through by one task at a time; one row for each block is brought together
 _QUOTE = r"^[ \t]*((?:>[ \t]?)+)(.*)$"
 
 
