@@ -2,9 +2,11 @@
 
 Generators with high recall propose spans of four kinds: the exact base patterns, and looser ones for e-mail
 addresses with written-out signs, dotted quadruples and groups of digits. Trees use the
-format of a candidate and what stands around it. They are fitted on candidates of a bounded sample of texts, where
-a candidate that the base pattern of its kind accepts counts as personal; calibration on a part of
-the sample left out gives probabilities, and each kind has its own threshold. Base spans are
+format of a candidate and what stands around it, but not the signs by which the base patterns know theirs. They are
+fitted on a bounded sample of texts and a fixed set of made-up ones. Personal are base spans, as they are and put into
+looser formats (written-out signs, no plus, other groups, shorter cards); not personal is what cannot be (no Luhn sum,
+octets over 255, dates, parts of longer words). Looser candidates that are neither are not fitted: nobody knows
+what they are. Calibration on a part left out gives probabilities, and each kind has its own threshold. Base spans are
 always kept; others are added if they pass and overlap no base span of their kind.
 
 Null is an empty text. Rows are kept one by one, whatever their id; extra columns are ignored or kept.
@@ -14,7 +16,9 @@ All patterns take time in proportion to the text.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +50,12 @@ CUES = {
     "phone": re.compile(r"phone|tel|call|mobile|fax|reach", re.IGNORECASE),
 }
 SECRET_CUE = re.compile(r"token|password|key|version|isbn|\$|=", re.IGNORECASE)
+# Shapes of dates, years and sums, and a sentence that ends within a written-out address.
+DATED = re.compile(
+    r"(?:1[0-9]|20)[0-9]{2} ?[-/.] ?(?:(?:1[0-9]|20)[0-9]{2}|[01]?[0-9] ?[-/.] ?[0-3]?[0-9])\b"
+    r"|[0-3]?[0-9] ?[-/.] ?[0-3]?[0-9] ?[-/.] ?(?:1[0-9]|20)[0-9]{2}\b"
+)
+SENTENCE = re.compile(r"(?<! )\. ")
 MARKED = byte_class((48, 57), (64, 64), (40, 40), (91, 91), (123, 123))  # digits, @ and opening brackets
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -56,6 +66,8 @@ class PiiParams:
     sample_rows: int = 20_000  # bound of the sample of texts whose candidates are fitted
     thresholds: tuple[float, ...] = (0.9, 0.95, 0.95, 0.95)  # by kind
     context: int = 24  # characters looked at on either side
+    of_text: int = 16  # bound of the fitted rows of one text, for either label
+    fitted: int = 60_000  # bound of the fitted rows
     boost: BoostParams = field(default_factory=lambda: BoostParams(trees=40, depth=4, min_rows=4))
 
 
@@ -112,7 +124,11 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     """Base spans and looser ones, overlapping as they may."""
     out = set(base)
     if "@" in text or re.search(r"[(\[{]at[)\]}]", text, re.IGNORECASE):
-        out |= {(0, *m.span()) for m in SPELLED_MAIL.finditer(text)}
+        for m in SPELLED_MAIL.finditer(text):
+            out.add((0, *m.span()))
+            short = SPELLED_MAIL.fullmatch(SENTENCE.split(m[0])[0])
+            if short:  # the next sentence may not be part of it
+                out.add((0, m.start(), m.start() + short.end()))
     out |= {(1, *m.span()) for m in DIGITS_AND_DOTS.finditer(text) if m[1]}
     for m in LOOSE_NUMBER.finditer(text):
         found = m[0].rstrip(" ().-/")
@@ -135,7 +151,7 @@ def span_features(text: str, span: Span, context: int) -> list[float]:
     return [
         kind, end - start, len(digits), len(parts), max(map(len, parts)), min(map(len, parts)),
         found.count("."), found.count("-"), found.count(" "), found.count("(") + found.count("["),
-        found[0] == "+", "@" in found, len(parts[-1]), parts[-1].isalpha(), parts[0].isalpha(),
+        bool(SENTENCE.search(found)), bool(DATED.match(found)), len(parts[-1]), parts[-1].isalpha(), parts[0].isalpha(),
         13 <= len(digits) <= 19 and luhn(digits), kind == 1 and all(map(_small, found.split("."))),
         last.isalnum(), last.isspace(), last in ".-_/\\=#$\"'", following.isalnum(), following.isspace(),
         following in ".-_/\\=\"'", bool(CUES[KINDS[kind]].search(before)), bool(SECRET_CUE.search(before)),
@@ -143,6 +159,114 @@ def span_features(text: str, span: Span, context: int) -> list[float]:
     ]
 
 
+def impossible(text: str, span: Span, base: set[Span]) -> bool:
+    """Whether a looser candidate is clearly not personal."""
+    kind, start, end = span
+    found = text[start:end]
+    last, following = text[max(0, start - 1) : start], text[end : end + 1]
+    if kind == 0:
+        final = re.split(r"[^0-9A-Za-z]+", found)[-1]
+        return bool(SENTENCE.search(found)) or len(final) < 2 or any(c.isdigit() for c in final)
+    if kind == 1 or (1, start, end) in base:
+        return True
+    if last.isalnum() or following.isalnum() or last in ("_", "$", "#") or following in ("_", "%"):
+        return True
+    if kind == 2:
+        return not luhn(_digits(found))
+    return bool(DATED.match(found)) or sum(len(p) == 1 for p in re.split("[^0-9]+", found)) > 3
+
+
+def _regrouped(digits: str, sizes: list[int], sign: str) -> str:
+    parts, at = [], 0
+    for size in sizes:
+        parts.append(digits[at : at + size])
+        at += size
+    return sign.join(p for p in [*parts, digits[at:]] if p)
+
+
+def loosened(kind: int, found: str, rng: random.Random) -> str:
+    """A base span put into a looser format."""
+    digits = _digits(found)
+    if kind == 0:
+        local, domain = found.split("@", 1)
+        at = rng.choice((" (at) ", "(at)", " [at] ", "[at]", " {at} ", " (AT) ", " @ "))
+        return local + at + domain.replace(".", rng.choice((".", ".", " (dot) ", "(dot)", " [dot] ", "[dot]", "{dot}")))
+    if kind == 2:
+        if rng.random() < 0.6:
+            start = digits[: rng.choice((12, 13, 14))]
+            digits = next(start + c for c in "0123456789" if luhn(start + c))
+        sizes = rng.choice(([4, 4, 4], [4, 6], [99], [99], [5, 5]))
+        return _regrouped(digits, sizes, rng.choice((" ", "-", ".", "/")))
+    if kind == 3:
+        form = rng.randrange(7)
+        local = digits[-10:]
+        if form < 2 or len(local) < 10:
+            return found[1:]
+        if form == 2:
+            return f"({local[:3]}) {local[3:6]}-{local[6:]}"
+        if form == 3:
+            return f"00{digits}"[:15]
+        if form == 4:
+            return f"0{local[:3]}/{local[3:]}"
+        return _regrouped(local, rng.choice(([3, 3], [3, 3], [4, 3], [2, 2, 2, 2], [99])), rng.choice(("-", "-", " ", ".")))
+    return found
+
+
+def _made_up() -> list[tuple[str, bool]]:
+    """Texts with base spans, and texts whose candidates are not personal; the same at every call."""
+    rng = random.Random(9)
+
+    def number(size: int) -> str:
+        return str(rng.randrange(10 ** (size - 1), 10**size))
+
+    out = []
+    for _ in range(300):
+        start = rng.choice("3456") + number(14)
+        card = next(start + c for c in "0123456789" if luhn(start + c))
+        host = rng.choice(("mail.example.com", "example.org", f"site{number(2)}.example.net", "uni.de", "a-b.co.uk"))
+        mail = rng.choice(("ann", "joe.b", f"kim{number(3)}", "x_y", f"li.{number(2)}")) + "@" + host
+        phone = f"+{rng.choice(('1', '44', '49', '33'))} ({number(3)}) {number(3)}-{number(4)}"
+        for found, cues in (
+            (mail, ("mail ", "write to ", "", "reach me at ", "contact: ", "she is ")),
+            (phone, ("call ", "tel. ", "phone: ", "", "fax ", "he has ")),
+            (card, ("card ", "visa: ", "pay with ", "", "account ", "it is ")),
+        ):
+            out.append((f"{rng.choice(('', 'please ', 'so then ', 'or '))}{rng.choice(cues)}{found}{rng.choice(('', ' please', '. Thanks', ', or so'))}", True))
+        year = rng.randrange(1900, 2030)
+        a, b = rng.randrange(1, 13), rng.randrange(10, 29)
+        out += [
+            (f"pages {year}-{year + rng.randrange(9)} (at) home", False),
+            (f"on {year}-{a:02}-{b} and {b}.{a}.{year}", False),
+            (f"we meet (at) noon. {rng.choice(('Then', 'It', 'We'))} go", False),
+            (f"bought {a} @ {b}.50 each", False),
+            (f"{rng.choice(('token', 'key', 'version', 'order no', 'id', 'build', 'row', 'isbn'))}{rng.choice((' ', '=', ': '))}{number(rng.randrange(8, 13))}", False),
+            (f"sum of {number(3)} {number(3)} {number(3)}.{a:02} paid", False),
+            (" ".join(number(1) for _ in range(9)), False),
+            (f"x{number(9)}y and ${number(9)}", False),
+        ]
+    return out
+
+
+def training_rows(text: str, params: PiiParams, clear: bool = False) -> tuple[list[list[float]], list[int]]:
+    """Features and labels of what is known in a text; with ``clear`` no looser candidate is personal."""
+    base = base_spans(text)
+    accepted = set(base)
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    good: list[list[float]] = []
+    for kind, start, end in rng.sample(base, min(len(base), params.of_text // 2)):
+        good.append(span_features(text, (kind, start, end), params.context))
+        before, after = text[max(0, start - 128) : start], text[end : end + 128]
+        new = loosened(kind, text[start:end], rng)
+        changed = f"{before}{new}{after}"
+        a, b = len(before), len(before) + len(new)
+        fits = [s for s in candidates(changed, base_spans(changed)) if s[0] == kind and a <= s[1] and s[2] == b]
+        if fits:
+            good.append(span_features(changed, min(fits, key=lambda s: s[1]), params.context))
+    other = [s for s in candidates(text, base) if s not in accepted and (clear or impossible(text, s, accepted))]
+    bad = [span_features(text, s, params.context) for s in rng.sample(other, min(len(other), params.of_text))]
+    return good + bad, [1] * len(good) + [0] * len(bad)
+
+
 @dataclass(frozen=True)
 class PiiModel:
     trees: Trees
@@ -189,16 +313,14 @@ def _marked_texts(column: pa.Array) -> tuple[np.ndarray, list[str]]:
 
 
 def fit_pii(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
-    """Trees and calibration from the candidates of a bounded sample of ``docs(doc_id, text)``."""
+    """Trees and calibration from what is known in a bounded sample of ``docs(doc_id, text)``."""
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         features, labels = [], []
         for text in _marked_texts(block.column("text"))[1]:
-            base = base_spans(text)
-            accepted = set(base)
-            for span in candidates(text, base):
-                features.append(np.array(span_features(text, span, params.context), np.float32).tolist())
-                labels.append(int(span in accepted))
+            x, y = training_rows(text, params)
+            features += [np.array(row, np.float32).tolist() for row in x]
+            labels += y
         arrays = [pa.array(labels, pa.int32()), pa.array(features, pa.list_(pa.float32()))]
         return pa.RecordBatch.from_arrays(arrays, ["label", "x"])
 
@@ -207,9 +329,14 @@ def fit_pii(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
     sample = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     table = sample.mapInArrow(by_block("text", work), "label int, x array<float>").toArrow()
     width = len(span_features("a@b.c", (0, 0, 5), params.context))
-    x = np.array(table.column("x").to_pylist(), dtype=np.float32).reshape(-1, width)
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
     y = table.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T[::-1], y))  # the same whatever order tasks end in
+    order = order[np.linspace(0, len(y) - 1, min(len(y), params.fitted)).astype(int)]
+    seeds = [training_rows(text, params, clear=not personal) for text, personal in _made_up()]
+    x = np.concatenate([x[order], np.array([row for rows, _ in seeds for row in rows], np.float32)])
+    y = np.concatenate([y[order], [label for _, labels in seeds for label in labels]])
+    order = np.lexsort((*x.T[::-1], y))
     x, y = x[order], y[order]
     apart = np.arange(len(y)) % 4 == 3
     trees = fit_trees(x[~apart], y[~apart], params.boost)

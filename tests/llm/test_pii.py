@@ -93,3 +93,26 @@ def test_odd_rows(spark):
     assert personal_data(docs.limit(0)).count() == 0
     assert redact(docs).schema == docs.schema
     assert redacted("ab cd ef", [(0, 0, 5), (3, 3, 8)]) == "<email>"
+
+
+def test_common_loose_spans_are_added(spark):
+    def card(start):
+        return next(start + c for c in "0123456789" if luhn(start + c))
+
+    mails = [(i, "write to ", f"ann{i} (at) mail.example.com", rest) for i, rest in enumerate([" please", ". Thanks"] * 150)]
+    phones = [(1000 + i, "call me on ", f"(555) 555-{1000 + i}", " today") for i in range(300)]
+    cards = [(2000 + i, "pay by card ", card(f"{37_828_224_000 + i * 7919}" + "00" + "1" * (i % 3 - 1)), " now") for i in range(300)]
+    plain = [(3000 + i, "", f"order {10_000_000 + i}, pages {1900 + i % 90}-2004, id x{7 * i:011}y", "") for i in range(300)]
+    rows = [(i, a + found + b) for i, a, found, b in mails + phones + cards + plain]
+    for more in ([], [(5000 + i, f"mail joe{i}@site.example.com or call +1 (555) 555-{1000 + i}") for i in range(200)]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        clean = {r.doc_id: r.text for r in redact(docs).collect()}
+        for kind, group in (("email", mails), ("phone", phones)):
+            lost = [i for i, a, _, b in group if clean[i] != f"{a}<{kind}>{b}"]
+            assert not lost, (kind, len(lost), clean[lost[0]])
+        assert all(re.fullmatch("pay by card <(card|phone)> now", clean[i]) for i, *_ in cards)
+        assert all(clean[i] == found for i, _, found, _ in plain)
+        kinds = {r.doc_id: r.spans for r in personal_data(docs).collect()}
+        assert all("card:" in kinds[i] for i, *_ in cards)
+        if more:
+            assert all(clean[i] == "mail <email> or call <phone>" for i, _ in more)
