@@ -3,7 +3,9 @@
 A line is a list of tokens. The tree has a fixed depth: the number of tokens, then the ``depth``
 leading tokens; a token with a digit is a variable field and stands as ``<*>``. A leaf holds
 templates: all tokens with their variable fields, and for long lines also every second
-token, from the first or from the second on, which generalises whatever varies in between.
+token, from the first or from the second on, which generalises whatever varies in between. A template needs
+constant words: tokens that hold a letter and no digit. A line with fewer than ``words`` of them, such as a row of numbers,
+is matched by its exact text only.
 A template that ``documents`` or more documents share is recurring. Its lines stay in the
 first document (the smallest id) that has one and are dropped everywhere else, so that no text is lost from the
 corpus altogether; with ``keep_first=False`` they are dropped there too.
@@ -31,7 +33,8 @@ class TemplateParams:
     documents: int = 2
     tokens: int = 5
     depth: int = 3
-    constant: int = 8  # tokens that a template of every second token must have
+    constant: int = 8  # constant words that a template of every second token must have
+    words: int = 3  # constant words that a template of all tokens must have
     keep_first: bool = True
 
 
@@ -41,18 +44,27 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), general).otherwise(found)
 
 
+def _constant(tokens: Column) -> Column:
+    """The number of constant words."""
+    return F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}")))
+
+
 def _keyed_lines(docs: DataFrame, params: TemplateParams) -> DataFrame:
     """``doc, version, at, leaf, template``: one row for each template a line belongs to."""
     lines = docs.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    tokens = lines.select("doc", "version", "at", _tokens(F.col("line")).alias("t")).where(
+    tokens = lines.select("doc", "version", "at", "line", _tokens(F.col("line")).alias("t")).where(
         F.size("t") >= params.tokens
     )
     leaf = F.xxhash64(F.size("t"), F.slice("t", 1, params.depth))
     enough = F.size("t") >= 2 * params.constant
+    first = F.filter("t", lambda _, i: i % 2 == 0)
+    second = F.filter("t", lambda _, i: i % 2 == 1)
     templates = F.array(
-        F.xxhash64(F.lit("all"), F.col("t")),
-        F.when(enough, F.xxhash64(F.lit("first"), F.filter("t", lambda _, i: i % 2 == 0))),
-        F.when(enough, F.xxhash64(F.lit("second"), F.filter("t", lambda _, i: i % 2 == 1))),
+        F.when(_constant(F.col("t")) >= params.words, F.xxhash64(F.lit("all"), F.col("t"))).otherwise(
+            F.xxhash64(F.lit("exact"), F.col("line"))
+        ),
+        F.when(enough & (_constant(first) >= params.constant), F.xxhash64(F.lit("first"), first)),
+        F.when(enough & (_constant(second) >= params.constant), F.xxhash64(F.lit("second"), second)),
     )
     return (
         tokens.select("doc", "version", "at", leaf.alias("leaf"), F.explode(templates).alias("template"))

@@ -41,3 +41,22 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::-1]) + "\nmine")], "doc_id long, text string")
     left = {r.doc_id: r.text for r in drop_repeated_lines(docs).collect()}
     assert left == {1: "\n".join(lines), 2: "mine"}
+
+
+def test_numbers_alone_are_no_template(spark):
+    labels = [f"l{chr(97 + i)}" for i in range(10)]
+    other = [f"m{chr(97 + i)}" for i in range(7)]
+
+    def row(words, start):
+        return " ".join(f"{w} {start + i}" for i, w in enumerate(words))
+
+    texts = [
+        "1 2 3 4 5\n2.5 3 4.1 9 7\n| 1 | 2 | 3 |",
+        "6 7 8 9 10\n0.5 1 2.2 8 6\n| 4 | 5 | 6 |",
+        f"2024-01-02 1 2 3 kg 4\n{row(labels, 1)}",
+        f"2023-07-08 5 6 7 kg 8\n{row(labels[:3] + other, 50)}",  # the same numbers and first three tokens only
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in drop_repeated_lines(docs).collect()} == dict(enumerate(texts))
+    again = spark.createDataFrame([*enumerate(texts), (9, f"{texts[0]}\nmine")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in drop_repeated_lines(again).collect()}[9] == "mine"
