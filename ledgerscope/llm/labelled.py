@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.text_bytes import by_block
 
 
+_FULL = 1 << 62  # hashes compared with a share; wide enough for any number of rows
+
+
+def in_share(hashed: Column, rows: int, total: int | Column) -> Column:
+    """Whether a row with a 64-bit hash falls into a sample of about ``rows`` of ``total`` rows."""
+    total = F.greatest(total, F.lit(1)) if isinstance(total, Column) else F.lit(max(1, total))
+    bound = F.least(F.lit(float(rows)) / total, F.lit(1.0)) * F.lit(float(_FULL))
+    return F.pmod(hashed, F.lit(_FULL)) < bound.cast("long")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int
 ) -> DataFrame:
@@ -27,8 +37,7 @@ def labelled_sample(
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    share = rows / max(1, usable.count())
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = usable.where(in_share(F.xxhash64("doc_id"), rows, usable.count()))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 

@@ -5,7 +5,7 @@ the mean log frequency of its known n-grams of the greatest length of which it h
 runs of letters in lower case; n-grams see the word's borders as a blank.
 
 Frequencies come from a bounded sample of rows outside the held-out fold that have a
-language; the model keeps the most frequent words and n-grams, so its size is bounded too. Every whole text is
+language, drawn by language so that rare ones are learned too; the model keeps the most frequent words and n-grams, so its size is bounded too. Every whole text is
 scored. Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing
 could be learned. Rows are kept one by one, whatever their id; extra columns are ignored.
 """
@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.llm.labelled import in_share
 from ledgerscope.llm.text_bytes import U64, by_block, hash_spans, split, window_hashes
+from ledgerscope.session import land
 
 UNKNOWN = "und"
 _BLANK = 32
@@ -28,7 +30,7 @@ _BLANK = 32
 
 @dataclass(frozen=True)
 class LanguageParams:
-    sample_rows: int = 8_000  # bound of the labelled sample that is counted
+    sample_rows: int = 8_000  # of the labelled sample: divided by share, but no language gets less than an equal part
     folds: int = 4
     held_out: int = 2  # rows whose crc32 leaves this are held out
     longest: int = 5  # of n-grams
@@ -167,8 +169,14 @@ def fit_language(docs: DataFrame, params: LanguageParams = LanguageParams()) ->
         & F.col("lang").isNotNull()
         & (split("doc_id") % params.folds != params.held_out)
     )
-    share = params.sample_rows / max(1, usable.count())
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    languages = land(usable.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    n, total = languages.agg(F.count("*"), F.sum("rows")).first()
+    among = F.least(F.lit(total or 0), F.col("rows") * n)  # the larger of its share and an equal part
+    picked = (
+        usable.join(F.broadcast(languages), "lang")
+        .where(in_share(F.xxhash64("doc_id", "text"), params.sample_rows, among))
+        .select("doc_id", "text", "lang")
+    )
     counts = _counts(picked, params)
     by_lang = F.sort_array(F.collect_list(F.struct("lang", "n")))  # one entry per language
     keyed = counts.groupBy("size", "key").agg(by_lang.alias("found"), F.sum("n").alias("total"))

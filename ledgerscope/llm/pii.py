@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.boosting import BoostParams, Isotonic, Trees, fit_isotonic, fit_trees
+from ledgerscope.llm.labelled import in_share
 from ledgerscope.llm.text_bytes import by_block, byte_class, sums_by_text, texts_of
 
 # The kinds and their patterns, written so that no text makes them slow.
@@ -325,8 +326,7 @@ def fit_pii(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
         return pa.RecordBatch.from_arrays(arrays, ["label", "x"])
 
     some = docs.where(F.col("text").isNotNull())
-    share = params.sample_rows / max(1, some.count())
-    sample = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = some.where(in_share(F.xxhash64("doc_id", "text"), params.sample_rows, some.count()))
     table = sample.mapInArrow(by_block("text", work), "label int, x array<float>").toArrow()
     width = len(span_features("a@b.c", (0, 0, 5), params.context))
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerscope.llm.language import LanguageModel, LanguageParams, Letters, Table, fit_language, language
 from ledgerscope.llm.queries import QUERIES
@@ -55,3 +56,21 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.lang_pred) for r in language(docs).collect())
     assert [g[1] for g in got if g[0] in "12"] == ["und", "und"] and len(got) == 5
     assert language(docs.limit(0)).count() == 0
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(i, f"hello good world {i}", "en") for i in range(4000)] + [(5000 + i, "bonjour le monde", "fr") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language(docs, LanguageParams(sample_rows=40))
+    assert model.languages == ["en", "fr"]
+    assert model.predict(pa.array(["good world", "bonjour monde"]))[0] == ["en", "fr"]
+
+
+def test_share_of_any_number_of_rows(spark):
+    from ledgerscope.llm.labelled import in_share
+
+    for rows, total in ((8_000, 10**13), (20_000, 10**17), (5, 20), (7, 3), (3, 0)):
+        bound = int(min(1, rows / max(1, total)) * 2**62)
+        hashed = spark.createDataFrame([(bound - bound // 1000 - 1,), (min(bound + bound // 1000 + 1, 2**62 - 1),)], "h long")
+        got = [r[0] for r in hashed.select(in_share(F.col("h"), rows, total)).collect()]
+        assert got == [True, rows >= max(1, total)], (rows, total)
