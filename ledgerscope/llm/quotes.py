@@ -1,10 +1,11 @@
 """Conversations in reply order without quotes, in DataFrame functions only.
 
 A line that begins with ``>`` signs is quoted; their number is its level (``>>`` and ``> >`` are both two). Consecutive quoted
-lines of one level are a passage. Passages and the paragraphs of the messages' own words are
-normalised (letters and digits in lower case, single blanks) and hashed; a passage is joined to
-the message of the same conversation that has it as its own words, the latest before the quoting turn. The
-shallowest linked passage names the message that is answered; without one it is the turn before.
+lines of one level are a passage. Passages, their paragraphs, and the messages' own words as a whole and by paragraphs are
+normalised (letters and digits in lower case, single blanks) and hashed; a passage or paragraph is joined to
+the message of the same conversation that has it as its own words, the latest before the quoting turn. A short one
+is joined only if one message alone has these words. The shallowest linked passage names the
+message that is answered, a whole passage before its paragraphs; without one it is the turn before.
 Messages come out by thread: each after the one it answers, answers in the order of their turns.
 
 Null and empty texts are messages without words. A passage whose words nobody wrote links to nothing.
@@ -27,7 +28,7 @@ _QUOTE = r"^[ \t]*((?:>[ \t]?)+)(.*)$"
 
 @dataclass(frozen=True)
 class QuoteParams:
-    words: int = 3  # shorter passages link to nothing
+    words: int = 3  # shorter passages link only to words that one message of the conversation alone has
 
 
 def _lines(messages: DataFrame) -> DataFrame:
@@ -44,25 +45,35 @@ def normalised(text: Column) -> Column:
 
 
 def _passages(lines: DataFrame) -> DataFrame:
-    """Runs of lines of one level: ``conv_id, turn, level, first, key, words``. A blank own line ends a run."""
-    blank = normalised(F.col("line")) == ""
+    """``conv_id, turn, level, piece, first, key, words``: passages and all own words of a message (piece 0), and
+    their paragraphs (piece 1), which blank lines end.
+    """
     run = Window.partitionBy("conv_id", "turn").orderBy("at")
-    starts = (F.col("level") != F.lag("level", 1, -1).over(run)) | ((F.col("level") == 0) & F.col("blank"))
-    parts = (
-        lines.withColumn("blank", blank)
-        .withColumn("starts", starts.cast("int"))
-        .withColumn("part", F.sum("starts").over(run))
-        .groupBy("conv_id", "turn", "part", "level")
+    new = F.col("level") != F.lag("level", 1, -1).over(run)
+    starts = new | (normalised(F.col("line")) == "")
+    marked = lines.withColumn("new", new.cast("int")).withColumn("starts", starts.cast("int"))
+    runs = (
+        marked.withColumn("run", F.when(F.col("level") > 0, F.sum("new").over(run)).otherwise(0))
+        .withColumn("paragraph", F.sum("starts").over(run))
+        .groupBy("conv_id", "turn", "level", "run", "paragraph")
         .agg(F.min("at").alias("first"), F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
-    )
-    text = normalised(F.array_join(F.transform("lines", lambda x: x["line"]), " "))
-    return (
-        parts.select("conv_id", "turn", "level", "first", text.alias("text"))
-        .where("text <> ''")
         .select(
-            "conv_id", "turn", "level", "first", F.sha2("text", 256).alias("key"),
-            F.size(F.split("text", " ")).alias("words"),
+            "conv_id", "turn", "level", "run", "first",
+            normalised(F.array_join(F.transform("lines", lambda x: x["line"]), " ")).alias("text"),
         )
+        .where("text <> ''")
+        .groupBy("conv_id", "turn", "level", "run")
+        .agg(F.sort_array(F.collect_list(F.struct("first", "text"))).alias("pieces"))
+    )
+    whole = F.struct(
+        F.lit(0).alias("piece"), F.col("pieces")[0]["first"].alias("first"),
+        F.array_join(F.transform("pieces", lambda x: x["text"]), " ").alias("text"),
+    )
+    pieces = F.transform("pieces", lambda x: F.struct(F.lit(1).alias("piece"), x["first"].alias("first"), x["text"].alias("text")))
+    every = F.when(F.size("pieces") > 1, F.concat(F.array(whole), pieces)).otherwise(F.array(whole))
+    return runs.select("conv_id", "turn", "level", F.inline(every)).select(
+        "conv_id", "turn", "level", "piece", "first", F.sha2("text", 256).alias("key"),
+        F.size(F.split("text", " ")).alias("words"),
     )
 
 
@@ -117,15 +128,21 @@ def last_marked(rows: DataFrame, mark: Column) -> DataFrame:
 def _sources(messages: DataFrame, params: QuoteParams) -> DataFrame:
     """``conv_id, turn, linked, n_quotes``: the turn whose words are quoted, and passages quoted."""
     found = land(_passages(_lines(messages)), "passages")
-    usable = found.where(F.col("words") >= params.words)
-    own = usable.where("level = 0").groupBy("conv_id", "key", "turn").agg(F.lit(True).alias("own"))
-    quoted = usable.where("level > 0").withColumn("own", F.lit(False))
+    own = found.where("level = 0").groupBy("conv_id", "key", "turn").agg(F.max("words").alias("words"))
+    short = F.col("words") < params.words
+    alone = (
+        own.where(short).groupBy("conv_id", "key").agg(F.count("*").alias("n"), F.min("turn").alias("turn"), F.max("words").alias("words"))
+        .where("n = 1").drop("n")
+    )
+    own = own.where(~short).unionByName(alone).drop("words").withColumn("own", F.lit(True))
+    quoted = found.where("level > 0").withColumn("own", F.lit(False))
     none = F.lit(None).cast("int")
     both = numbered(
         own.withColumn("level", none)
+        .withColumn("piece", none)
         .withColumn("first", none)
-        .unionByName(quoted.select("conv_id", "key", "turn", "own", "level", "first")),
-        "conv_id", "key", "turn", "own", "level", "first",
+        .unionByName(quoted.select("conv_id", "key", "turn", "own", "level", "piece", "first")),
+        "conv_id", "key", "turn", "own", "level", "piece", "first",
     )  # within a turn quotes come before own words, so a message never answers itself
     wrote = both.where("own").select(
         F.col("rank").alias("last"), F.col("conv_id").alias("c"), F.col("key").alias("k"), F.col("turn").alias("source")
@@ -136,8 +153,8 @@ def _sources(messages: DataFrame, params: QuoteParams) -> DataFrame:
         .join(wrote, "last")
         .where((F.col("c") == F.col("conv_id")) & (F.col("k") == F.col("key")))
     )
-    named = links.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "first", "source")).alias("best"))
-    number = found.where("level > 0").groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"))
+    named = links.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "piece", "first", "source")).alias("best"))
+    number = found.where("level > 0 and piece = 0").groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"))
     return number.join(named, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.col("best.source").alias("linked"), "n_quotes"
     )

@@ -85,3 +85,21 @@ def test_odd_rows(spark):
     got = rows_of(reply_order(frame))
     assert {k: r.text for k, r in got.items()} == {(1, 1): "a", (3, 1): "own"}
     assert reply_order(frame.limit(0)).count() == 0
+
+
+def test_quotes_of_several_paragraphs_and_short_ones(spark):
+    data = [
+        (1, 0, "u", "The first thing is this.\n\nThe second thing is that."),
+        (1, 1, "a", "No, never."), (1, 2, "b", "Some other words here"), (1, 3, "u", "Good point"), (1, 4, "a", "Good point"),
+        (1, 5, "c", "> The first thing is this.\n>\n> The second thing is that.\nWhole"),
+        (1, 6, "c", "> The second thing is that.\n>\n> nobody wrote this one\nOne of two"),
+        (1, 7, "d", "> No, never.\nShort and written once"),
+        (1, 8, "e", "> Good point\nShort and written twice"),
+        (1, 9, "f", "> nobody\n>\n> wrote\n\nSome other end"),
+    ]
+    got = rows_of(reply_order(spark.createDataFrame(data, SCHEMA)))
+    replies = {k[1]: r.reply_to for k, r in got.items()}
+    assert replies == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 0, 6: 0, 7: 1, 8: 7, 9: 8}
+    assert got[1, 5].n_quotes == got[1, 6].n_quotes == 1 and not got[1, 8].by_quote
+    order = [k[1] for k, r in sorted(got.items(), key=lambda x: x[1].position)]
+    assert order == walk(replies)
