@@ -116,7 +116,6 @@ ORACLE = {
         from lines l left join dropped d using (doc_id, pos)
         group by l.doc_id
     """,
-    "op9_pii": op9_pii,
     "op10_exact_top_k": """
         with rows as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v

@@ -13,3 +13,9 @@ from ledgerscope.llm.queries import ORACLE, QUERIES
 def test_same_rows(spark, name, sf):
     path = f"/root/testdata/{sf}"
     assert spark_rows(QUERIES[name](spark, path)) == sql_rows(duck(path), ORACLE[name])
+
+
+def test_every_twin_is_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
