@@ -9,7 +9,8 @@ resolved by id, and the few selected rows are scored once more as whole numbers.
 Every row is indexed, so the result is exact and recall is 1. Queries are met in groups with every block;
 their copies, not the blocks', travel. Null vectors, vectors with a null or non-finite
 component or one of 2**31 / 256 and more, and rows without an id take no part. Shorter vectors count as filled up with
-zeros. Repeated ids are rows of their own; a query is never matched with rows of its own id.
+zeros. Repeated ids are rows of their own, and so are repeated queries: each has its own k best rows. A query is
+never matched with rows of its own id.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BLOCK = "block int, n int, width int, bits int, ids binary, numbers binary, slices binary"
-_CHUNK = "chunk int, n int, ids binary, numbers binary"
+_CHUNK = "chunk int, n int, asked binary, ids binary, numbers binary"
 
 
 def _pack_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,15 +207,23 @@ def _pack_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, table in _runs(batches):
         ids, values = _vectors(table)
         yield pa.RecordBatch.from_pylist(
-            [{"chunk": number, "n": len(ids), "ids": ids.tobytes(), "numbers": values.astype(np.int32).tobytes()}],
-            schema=pa.schema([("chunk", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("numbers", pa.binary())]),
+            [
+                {
+                    "chunk": number, "n": len(ids), "asked": table.column("row").to_numpy().tobytes(),
+                    "ids": ids.tobytes(), "numbers": values.astype(np.int32).tobytes(),
+                }
+            ],
+            schema=pa.schema(
+                [("chunk", pa.int32()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("asked", "ids", "numbers")]
+            ),
         )
 
 
 def _dealt(rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """Written rows, dealt evenly to ``parts`` numbers and sorted by them."""
-    number = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
-    return rows.select(number.alias(name), "vec_id", "v").repartition(parts, name).sortWithinPartitions(name)
+    """Written rows with a number of their own, dealt evenly to ``parts`` numbers and sorted by them."""
+    row = F.monotonically_increasing_id()
+    number = F.pmod(row, F.lit(parts)).cast("int")
+    return rows.select(number.alias(name), row.alias("row"), "vec_id", "v").repartition(parts, name).sortWithinPartitions(name)
 
 
 def build_index(rows: DataFrame, n_blocks: int) -> DataFrame:
@@ -251,26 +260,28 @@ def top_k(
     )
 
     def search(of_block: pa.Table, of_chunks: pa.Table) -> pa.Table:
-        query_ids, found_ids, scores = [], [], []
+        query_rows, query_ids, found_ids, scores = [], [], [], []
         for row in of_block.to_pylist():
             block = Block.restored(row)
             for chunk in of_chunks.to_pylist():
                 ids = np.frombuffer(chunk["ids"], np.int64)
                 asked = np.frombuffer(chunk["numbers"], np.int32).reshape(len(ids), -1).astype(np.int64)
-                for query, vector in zip(ids.tolist(), asked, strict=True):
+                numbers = np.frombuffer(chunk["asked"], np.int64).tolist()
+                for number, query, vector in zip(numbers, ids.tolist(), asked, strict=True):
                     best, score = block.top(query, vector, params.k)
+                    query_rows.append(np.full(len(best), number))
                     query_ids.append(np.full(len(best), query))
                     found_ids.append(best)
                     scores.append(score)
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (query_ids, found_ids, scores)]
-        return pa.table([pa.array(x, pa.int64()) for x in flat], ["query_id", "vec_id", "score"])
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (query_rows, query_ids, found_ids, scores)]
+        return pa.table([pa.array(x, pa.int64()) for x in flat], ["query_row", "query_id", "vec_id", "score"])
 
     local = (
         index.groupBy("block", "part")
         .cogroup(chunks.groupBy("block", "part"))
-        .applyInArrow(search, "query_id long, vec_id long, score long")
+        .applyInArrow(search, "query_row long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (
         local.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= params.k)

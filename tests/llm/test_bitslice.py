@@ -56,3 +56,11 @@ def test_odd_rows(spark):
     assert got == brute(rows, lambda i: i % 50 == 0)
     assert top_k(frame.limit(0), frame).count() == 0
     assert top_k(frame, frame.limit(0)).count() == 0
+
+
+def test_repeated_queries_have_their_own_rows(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 12)] + [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [-1.0, 0.0])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for params in (SearchParams(), SearchParams(block_rows=4, chunk_queries=1, group_queries=1)):
+        got = sorted(map(tuple, top_k(frame, frame.where("vec_id = 50"), params).collect()))
+        assert got == brute(rows, lambda i: i == 50) and len(got) == 15
