@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerscope.llm.bitslice import top_k
 from ledgerscope.llm.bpe import token_digests
 from ledgerscope.llm.decontaminate import contamination
+from ledgerscope.llm.fill_in_middle import middle_digests
 from ledgerscope.llm.language import language
 from ledgerscope.llm.line_templates import line_report
 from ledgerscope.llm.near_dedup import near_duplicates
+from ledgerscope.llm.periodic import run_report
 from ledgerscope.llm.pii import personal_data
 from ledgerscope.llm.quality import quality
 from ledgerscope.llm.quotes import reply_order
@@ -68,6 +70,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -79,6 +89,8 @@ QUERIES = {
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_pii": op9_pii,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -132,6 +144,38 @@ ORACLE = {
             (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank
         from scored qualify rank <= 5
     """,
+    "op12_fill_in_middle": r"""
+        with lines as (
+            select doc_id, coalesce(text, '') as text,
+                regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as l,
+                sha256('7:' || coalesce(doc_id::varchar, '')) as h
+            from documents
+        ),
+        numbers as (
+            select doc_id, text, l, len(l) as n,
+                list_transform([1, 9, 17, 25], lambda i: ('0x' || h[i:i + 7])::bigint) as h
+            from lines
+        ),
+        cuts as (
+            select doc_id, text, n, least(h[1] % (n + 1), h[2] % (n + 1)) as a,
+                greatest(h[1] % (n + 1), h[2] % (n + 1)) as b, l,
+                case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                    then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+            from numbers
+        ),
+        parts as (
+            select doc_id, text, n, form, array_to_string(l[1:a], '') as p,
+                array_to_string(l[a + 1:b], '') as m, array_to_string(l[b + 1:], '') as s
+            from cuts
+        )
+        select doc_id, n, form,
+            case when form <> 'plain' then length(p) end as prefix_chars,
+            case when form <> 'plain' then length(m) end as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+            sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
+        from parts
+    """,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:
