@@ -18,6 +18,7 @@ from ledgerscope.llm.pii import personal_data
 from ledgerscope.llm.quality import quality
 from ledgerscope.llm.quotes import reply_order
 from ledgerscope.llm.toxicity import toxicity
+from ledgerscope.llm.universe_join import similar_documents
 from ledgerscope.session import ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +79,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +96,7 @@ QUERIES = {
     "op10_exact_top_k": op10_exact_top_k,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 
