@@ -20,6 +20,9 @@ gives three rounds, each exact for the pairs left to it (equal sets are one node
 Lists are not expanded into pairs. Each links its members to its first one; links are verified on the full sets and give
 components. What is left are members outside the largest component of a list: pairs of these with
 the rest, as far as sizes and tokens of one's own allow, are verified too. So no link is lost that would join two components.
+Before full sets are fetched, pairs are tested on parity sketches: one bit for each of about twice as many
+segments as tokens, whether it holds an odd number. Every bit in which two sketches are unlike is a token in which the sets differ,
+so pairs with too many of these are out for certain.
 
 Null texts and texts without words have no shingles and are linked with nothing; sets of fewer tokens than can differ
 in one are linked with equal ones only. Rows without an id take no part, their component is null. Rows of one id are
@@ -54,7 +57,8 @@ class JoinParams:
     band: float = 1.5  # ratio of sizes in one band
     fine: float = 0.45  # segments of the first round for each token of the largest sets of a band
     coarse: float = 0.25  # segments of the second round
-    list_size: int = 64  # longer lists are hot
+    list_size: int = 16  # longer lists are hot
+    sketch: float = 2.0  # bits of a sketch for each token of the largest sets of a band
     extra: int = 32  # one more subset for so many tokens
     sample: int = 20_000  # sets on which very frequent subsets are found
     frequent: float = 0.002  # share of the sample
@@ -92,7 +96,7 @@ class Segments:
     ``part`` is a pair of a set and a band. Slots are the segments of all parts, one part after the other.
     """
 
-    def __init__(self, sets: list[np.ndarray], density: float, least: int, round_: int, params: JoinParams):
+    def __init__(self, sets: list[np.ndarray], density: float, least: int, round_: int, params: JoinParams, multiple: int = 1):
         sizes = np.array([len(s) for s in sets], np.int64)
         tops = params.bands()
         own = np.searchsorted(tops, sizes)
@@ -102,6 +106,7 @@ class Segments:
         self.band = np.concatenate([own, own[below] - 1])
         self.n = sizes[self.part_set]
         segments = np.maximum(least, np.ceil(density * tops[self.band]).astype(np.int64))
+        segments = -(-segments // multiple) * multiple
         self.first = np.concatenate([[0], np.cumsum(segments)])
         flat = np.concatenate(sets) if sets else np.zeros(0, U64)
         starts = np.cumsum(sizes) - sizes
@@ -355,12 +360,55 @@ def third_round(sets: DataFrame, params: JoinParams) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(_sliced(work), "node long, value long")
 
 
+def sketches(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
+    """``node, n, band, own, below``: parities of the segments in the set's band and the one below; written."""
+
+    def work(block: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sets = _sets_of(block, params)
+        segments = Segments(sets, params.sketch, 64, 4, params, multiple=64)
+        bits = np.packbits((segments.count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+        first = segments.first // 64
+        own = [bits[first[i] : first[i + 1]] for i in range(len(sets))]
+        below: list[np.ndarray | None] = [None] * len(sets)
+        for i in range(len(sets), len(segments.band)):
+            below[int(segments.part_set[i])] = bits[first[i] : first[i + 1]]
+        kind = pa.list_(pa.int64())
+        columns = [
+            pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+            pa.array(segments.band[: len(sets)].astype(np.int32)), pa.array(own, kind), pa.array(below, kind),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["node", "n", "band", "own", "below"])
+
+    rows = _texts_of(docs, nodes).mapInArrow(
+        by_block("text", work), "node long, n long, band int, own array<long>, below array<long>"
+    )
+    return land(rows, "sketches")
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs ``a, b`` whose sketches leave it open that they are similar; written."""
+    joined = pairs
+    for end in ("a", "b"):
+        side = sketched.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "band", "own", "below")])
+        joined = joined.join(side, end)
+    of_a = F.when(F.col("band_a") > F.col("band_b"), F.col("below_a")).otherwise(F.col("own_a"))
+    of_b = F.when(F.col("band_b") > F.col("band_a"), F.col("below_b")).otherwise(F.col("own_b"))
+    unlike = F.aggregate(
+        F.zip_with(of_a, of_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    s = params.similarity
+    most = F.floor((100 - s) * (F.col("n_a") + F.col("n_b")) / (100 + s))
+    return land(joined.where((F.size(of_a) == F.size(of_b)) & (unlike <= most)).select("a", "b").distinct(), "possible")
+
+
 def _fits(a: Column, b: Column, params: JoinParams) -> Column:
     return 100 * F.least(a, b) >= params.similarity * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
     """Pairs ``a, b`` whose full sets are similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = full_sets(docs, nodes.join(ends, "node", "left_semi"), params)
     of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("in_a"))
     of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("in_b"))
     common = F.size(F.array_intersect("in_a", "in_b"))
@@ -463,9 +511,11 @@ def similar_documents(docs: DataFrame, params: JoinParams = JoinParams(), id_col
         .unionByName(third_round(hot_sets, params).join(counted, "node").select("value", "node", "n", F.lit(True).alias("whole"), "own"))
     )
     posts = land(posts, "posts")
-    sets = full_sets(known, nodes.join(posts.select("node").distinct(), "node", "left_semi"), params)
-    found = components(verified(_stars(posts, params), sets, params))
-    rest = land(verified(_across(posts, found, params), sets, params), "rest")
+    sketched = sketches(known, nodes.join(posts.select("node").distinct(), "node", "left_semi"), params)
+    near = possible(_stars(posts, params), sketched, params)
+    found = components(verified(near, known, nodes, params))
+    far = possible(_across(posts, found, params), sketched, params)
+    rest = land(verified(far, known, nodes, params), "rest")
     joined = components(_renamed(rest, found)).select(F.col("node").alias("at"), F.col("component").alias("joined"))
     placed = (
         nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
