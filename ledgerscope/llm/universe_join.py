@@ -386,11 +386,17 @@ def sketches(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame
 
 
 def possible(pairs: DataFrame, sketched: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs ``a, b`` whose sketches leave it open that they are similar; written."""
-    joined = pairs
-    for end in ("a", "b"):
-        side = sketched.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "band", "own", "below")])
-        joined = joined.join(side, end)
+    """Pairs ``a, b`` whose sketches leave it open that they are similar."""
+    joined = pairs.join(_side(sketched, "a"), "a").join(_side(sketched, "b"), "b")
+    return joined.where(_alike(params)).select("a", "b")
+
+
+def _side(sketched: DataFrame, end: str) -> DataFrame:
+    return sketched.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "band", "own", "below")])
+
+
+def _alike(params: JoinParams) -> Column:
+    """Whether the sketches of ``a`` and ``b`` leave it open that they are similar."""
     of_a = F.when(F.col("band_a") > F.col("band_b"), F.col("below_a")).otherwise(F.col("own_a"))
     of_b = F.when(F.col("band_b") > F.col("band_a"), F.col("below_b")).otherwise(F.col("own_b"))
     unlike = F.aggregate(
@@ -398,7 +404,7 @@ def possible(pairs: DataFrame, sketched: DataFrame, params: JoinParams) -> DataF
     )
     s = params.similarity
     most = F.floor((100 - s) * (F.col("n_a") + F.col("n_b")) / (100 + s))
-    return land(joined.where((F.size(of_a) == F.size(of_b)) & (unlike <= most)).select("a", "b").distinct(), "possible")
+    return (F.size(of_a) == F.size(of_b)) & (unlike <= most)
 
 
 def _fits(a: Column, b: Column, params: JoinParams) -> Column:
@@ -431,9 +437,10 @@ def _stars(posts: DataFrame, params: JoinParams) -> DataFrame:
     )
 
 
-def _across(posts: DataFrame, found: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs of different components in one list that their sizes and own tokens allow.
+def _across(posts: DataFrame, found: DataFrame, sketched: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs of different components in one list that their sizes, own tokens and sketches allow.
 
+    In hot lists the sketches travel with the members, so that what they rule out never becomes a row.
     ``room`` is the part of a set in the tokens that may differ less those that are its own: the sum for a pair must not be negative.
     """
     s = params.similarity
@@ -445,28 +452,34 @@ def _across(posts: DataFrame, found: DataFrame, params: JoinParams) -> DataFrame
     groups = labelled.groupBy("value", "component").agg(F.count("*").alias("size"), F.max("room").alias("room"))
     mixed = land(
         groups.groupBy("value")
-        .agg(F.max(F.struct("size", "component")).alias("major"), F.max("room").alias("most"), F.count("*").alias("parts"))
-        .where("parts > 1").select("value", F.col("major.component").alias("major"), "most"),
+        .agg(F.max(F.struct("size", "component")).alias("major"), F.max("room").alias("most"), F.count("*").alias("parts"), F.sum("size").alias("size"))
+        .where("parts > 1").select("value", F.col("major.component").alias("major"), "most", (F.col("size") > params.list_size).alias("hot")),
         "mixed",
     )
     members = land(
         labelled.join(mixed, "value").where(F.col("room") + F.col("most") >= 0)
-        .select("value", "node", "n", "whole", "component", "room", (F.col("component") != F.col("major")).alias("minor")),
+        .select("value", "hot", "node", "n", "whole", "component", "room", (F.col("component") != F.col("major")).alias("minor")),
         "members",
     )
-    left = members.where("minor").select("value", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "whole", "component", "room")])
-    return (
-        left.join(members, "value")
-        .where(
-            (F.col("component_1") != F.col("component"))
-            & (~F.col("minor") | (F.col("node_1") < F.col("node")))
-            & (F.col("whole_1") | F.col("whole"))
-            & (F.col("room_1") + F.col("room") >= 0)
-            & _fits(F.col("n_1"), F.col("n"), params)
-        )
-        .select(F.least("node_1", "node").alias("a"), F.greatest("node_1", "node").alias("b"))
-        .distinct()
+
+    def ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        a = rows.where("minor").select("value", F.col("node").alias("a"), *[F.col(c).alias(f"{c}_1") for c in ("n", "whole", "component", "room")])
+        return a, rows.withColumnRenamed("node", "b")
+
+    allowed = (
+        (F.col("component_1") != F.col("component"))
+        & (~F.col("minor") | (F.col("a") < F.col("b")))
+        & (F.col("whole_1") | F.col("whole"))
+        & (F.col("room_1") + F.col("room") >= 0)
+        & _fits(F.col("n_1"), F.col("n"), params)
     )
+    in_order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    a, b = ends(members.where("not hot"))
+    cold = possible(a.join(b, "value").where(allowed).select(*in_order).distinct(), sketched, params)
+    a, b = ends(members.where("hot"))
+    b = b.join(_side(sketched, "b"), "b")
+    hot = a.join(_side(sketched, "a"), "a").join(b, "value").where(allowed & _alike(params)).select(*in_order).distinct()
+    return cold.unionByName(hot)
 
 
 def _renamed(links: DataFrame, found: DataFrame) -> DataFrame:
@@ -512,9 +525,9 @@ def similar_documents(docs: DataFrame, params: JoinParams = JoinParams(), id_col
     )
     posts = land(posts, "posts")
     sketched = sketches(known, nodes.join(posts.select("node").distinct(), "node", "left_semi"), params)
-    near = possible(_stars(posts, params), sketched, params)
+    near = land(possible(_stars(posts, params), sketched, params), "near")
     found = components(verified(near, known, nodes, params))
-    far = possible(_across(posts, found, params), sketched, params)
+    far = land(_across(posts, found, sketched, params), "far")
     rest = land(verified(far, known, nodes, params), "rest")
     joined = components(_renamed(rest, found)).select(F.col("node").alias("at"), F.col("component").alias("joined"))
     placed = (
