@@ -8,13 +8,17 @@ resolved by id, and the few selected rows are scored once more as whole numbers.
 
 Every row is indexed, so the result is exact and recall is 1. Queries are met in groups with every block;
 their copies, not the blocks', travel. Null vectors, vectors with a null or non-finite
-component or one of 2**31 / 256 and more, and rows without an id take no part. Shorter vectors count as filled up with
-zeros. Repeated ids are rows of their own, and so are repeated queries: each has its own k best rows. A query is
+component, and rows without an id take no part. Vectors with a component of ``wide`` or more, whose scores may not fit 64 bits, are
+not in the bitmaps: they are met in blocks as well and scored in whole numbers of any size. Ranks follow the
+exact scores; a score beyond 64 bits is given as the largest or smallest such number. Shorter vectors count as filled up with
+zeros. An empty table on either side gives no rows; extra columns are ignored. Repeated ids are rows of their own, and so are repeated queries: each has its own k best rows. A query is
 never matched with rows of its own id.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerscope.session import land
 
 U64 = np.uint64
-
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 @dataclass(frozen=True)
 class SearchParams:
@@ -35,6 +39,8 @@ class SearchParams:
     block_rows: int = 16_384
     chunk_queries: int = 256  # queries in one row
     group_queries: int = 4_096  # queries that a task takes with a block
+    wide: float = 65_536.0  # components from here on go the way of whole numbers of any size; 24 bits in the bitmaps
+    wide_rows: int = 1_024  # rows of a block there
 
 
 class Block:
@@ -134,21 +140,46 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _usable(vector: str, params: SearchParams) -> Column:
-    limit = float(2**31 // params.scale)
-    return F.col(vector).isNotNull() & F.forall(
-        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)
+def taking_part(vectors: DataFrame, params: SearchParams, id_col: str, vector_col: str) -> DataFrame:
+    """``vec_id, x, wide, row``: every vector that takes part, numbered; written."""
+    finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return land(
+        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("x"))
+        .where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+        .select(
+            "vec_id", "x", F.exists("x", lambda x: F.abs(x) >= params.wide).alias("wide"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "vectors",
     )
 
 
-def quantised(vectors: DataFrame, params: SearchParams, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, v``: whole numbers of every vector that takes part."""
-    wide = F.transform(vector_col, lambda x: x.cast("double"))
-    return (
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), wide.alias("x"))
-        .where(F.col("vec_id").isNotNull() & F.coalesce(_usable("x", params), F.lit(False)))
-        .select("vec_id", F.transform("x", lambda x: F.floor(x * params.scale).cast("long")).alias("v"))
-    )
+def _quantised(rows: DataFrame, params: SearchParams) -> DataFrame:
+    """``vec_id, v, row`` of the vectors that are not wide."""
+    v = F.transform("x", lambda x: F.floor(x * params.scale).cast("long"))
+    return rows.where("not wide").select("vec_id", v.alias("v"), "row")
+
+
+def whole_number(x: float, scale: int) -> int:
+    """floor(scale * x) without rounding; ``scale`` is a power of two."""
+    return int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale)
+
+
+def ordered_bytes(score: int) -> bytes:
+    """Bytes that sort as the numbers do, whatever their size."""
+    size = (abs(score).bit_length() + 7) // 8
+    digits = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + digits if score >= 0 else b"\0" + bytes(255 - b for b in digits)
+
+
+def _found(rows: list[int], queries: list[int], ids: list[int], scores: list[int]) -> pa.Table:
+    fitting = [min(max(s, _LEAST), _MOST) for s in scores]
+    columns = [pa.array(c, pa.int64()) for c in (rows, queries, ids, fitting)]
+    return pa.table([*columns, pa.array(map(ordered_bytes, scores), pa.binary())], _FOUND_NAMES)
+
+
+_FOUND_NAMES = ["query_row", "query_id", "vec_id", "score", "exact"]
+_FOUND = "query_row long, query_id long, vec_id long, score long, exact binary"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -220,10 +251,9 @@ def _pack_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """Written rows with a number of their own, dealt evenly to ``parts`` numbers and sorted by them."""
-    row = F.monotonically_increasing_id()
-    number = F.pmod(row, F.lit(parts)).cast("int")
-    return rows.select(number.alias(name), row.alias("row"), "vec_id", "v").repartition(parts, name).sortWithinPartitions(name)
+    """Written rows dealt evenly to ``parts`` numbers by their own number, and sorted by these."""
+    number = F.pmod("row", F.lit(parts)).cast("int")
+    return rows.withColumn(name, number).repartition(parts, name).sortWithinPartitions(name).select(name, *rows.columns)
 
 
 def build_index(rows: DataFrame, n_blocks: int) -> DataFrame:
@@ -239,8 +269,23 @@ def top_k(
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best of ``vectors`` for every row of ``queries``."""
-    rows = land(quantised(vectors, params, id_col, vector_col), "vectors")
-    asked = land(quantised(queries, params, id_col, vector_col), "queries")
+    rows = taking_part(vectors, params, id_col, vector_col)
+    asked = taking_part(queries, params, id_col, vector_col)
+    local = _by_bitmaps(_quantised(rows, params), _quantised(asked, params), params)
+    if not rows.where("wide").isEmpty():
+        local = local.unionByName(_by_numbers(rows.where("wide"), asked, params))
+    if not asked.where("wide").isEmpty():
+        local = local.unionByName(_by_numbers(rows.where("not wide"), asked.where("wide"), params))
+    order = Window.partitionBy("query_row").orderBy(F.desc("exact"), "vec_id")
+    return (
+        local.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= params.k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _by_bitmaps(rows: DataFrame, asked: DataFrame, params: SearchParams) -> DataFrame:
+    """The k best of each block for every query, through the index."""
     n_asked = asked.count()
     n_blocks = max(1, -(-rows.count() // params.block_rows))
     n_chunks = max(1, -(-n_asked // params.chunk_queries))
@@ -260,30 +305,51 @@ def top_k(
     )
 
     def search(of_block: pa.Table, of_chunks: pa.Table) -> pa.Table:
-        query_rows, query_ids, found_ids, scores = [], [], [], []
+        found: list[list[int]] = [[], [], [], []]
         for row in of_block.to_pylist():
             block = Block.restored(row)
             for chunk in of_chunks.to_pylist():
                 ids = np.frombuffer(chunk["ids"], np.int64)
-                asked = np.frombuffer(chunk["numbers"], np.int32).reshape(len(ids), -1).astype(np.int64)
+                vectors = np.frombuffer(chunk["numbers"], np.int32).reshape(len(ids), -1).astype(np.int64)
                 numbers = np.frombuffer(chunk["asked"], np.int64).tolist()
-                for number, query, vector in zip(numbers, ids.tolist(), asked, strict=True):
+                for number, query, vector in zip(numbers, ids.tolist(), vectors, strict=True):
                     best, score = block.top(query, vector, params.k)
-                    query_rows.append(np.full(len(best), number))
-                    query_ids.append(np.full(len(best), query))
-                    found_ids.append(best)
-                    scores.append(score)
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (query_rows, query_ids, found_ids, scores)]
-        return pa.table([pa.array(x, pa.int64()) for x in flat], ["query_row", "query_id", "vec_id", "score"])
-
-    local = (
-        index.groupBy("block", "part")
-        .cogroup(chunks.groupBy("block", "part"))
-        .applyInArrow(search, "query_row long, query_id long, vec_id long, score long")
+                    for column, values in zip(found, ([number] * len(best), [query] * len(best), best.tolist(), score.tolist()), strict=True):
+                        column += values
+        return _found(*found)
+
+    return index.groupBy("block", "part").cogroup(chunks.groupBy("block", "part")).applyInArrow(search, _FOUND)
+
+
+def _by_numbers(rows: DataFrame, asked: DataFrame, params: SearchParams) -> DataFrame:
+    """The k best of each block for every query, scored in whole numbers of any size."""
+    n_blocks = max(1, -(-rows.count() // params.wide_rows))
+    n_groups = max(1, -(-asked.count() // params.group_queries))
+    blocks = rows.select(
+        F.pmod("row", F.lit(n_blocks)).cast("int").alias("block"), "vec_id", "x",
+        F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"),
     )
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return (
-        local.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= params.k)
-        .select("query_id", "rank", "vec_id", "score")
+    parts = asked.select(
+        F.pmod("row", F.lit(n_groups)).cast("int").alias("part"), "vec_id", "x", "row",
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
     )
+    scale, k = params.scale, params.k
+
+    def numbers(table: pa.Table) -> list[list[int]]:
+        return [[whole_number(x, scale) for x in v] for v in table.column("x").to_pylist()]
+
+    def search(of_block: pa.Table, of_queries: pa.Table) -> pa.Table:
+        ids, vectors = of_block.column("vec_id").to_pylist(), numbers(of_block)
+        found: list[list[int]] = [[], [], [], []]
+        asked_rows, asked_ids = of_queries.column("row").to_pylist(), of_queries.column("vec_id").to_pylist()
+        for number, query, vector in zip(asked_rows, asked_ids, numbers(of_queries), strict=True):
+            scored = (
+                (-sum(a * b for a, b in zip(vector, other, strict=False)), i)
+                for i, other in zip(ids, vectors, strict=True) if i != query
+            )
+            for negated, i in heapq.nsmallest(k, scored):
+                for column, value in zip(found, (number, query, i, -negated), strict=True):
+                    column.append(value)
+        return _found(*found)
+
+    return blocks.groupBy("block", "part").cogroup(parts.groupBy("block", "part")).applyInArrow(search, _FOUND)

@@ -28,7 +28,8 @@ def labelled_sample(
     """``doc_id, text, label`` of about ``rows`` labelled documents, chosen by a hash of the id.
 
     ``allowed`` is a condition on ``doc_id``. A null label is none; of several labels of one
-    id the largest counts. The sample's ids are broadcast: their number is bounded by ``rows``.
+    id the largest counts. The sample's ids are broadcast: their number is bounded by ``rows``. Of several
+    rows of one id the smallest text is taken, so the sample is bounded however often rows are repeated.
     """
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -38,7 +39,8 @@ def labelled_sample(
         .agg(F.max("label").alias("label"))
     )
     picked = usable.where(in_share(F.xxhash64("doc_id"), rows, usable.count()))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def features_of(

@@ -5,13 +5,15 @@ the mean log frequency of its known n-grams of the greatest length of which it h
 runs of letters in lower case; n-grams see the word's borders as a blank.
 
 Frequencies come from a bounded sample of rows outside the held-out fold that have a
-language, drawn by language so that rare ones are learned too; the model keeps the most frequent words and n-grams, so its size is bounded too. Every whole text is
-scored. Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing
-could be learned. Rows are kept one by one, whatever their id; extra columns are ignored.
+language, drawn by language so that rare ones are learned too; rows repeated with id and text count once. The model keeps
+the most frequent words and n-grams, so its size is bounded by these and the number of languages. Every whole text, of any length, is
+scored; of languages that score the same the first by name is taken. Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing
+could be learned; an empty table gives an empty one. Rows are kept one by one, whatever their id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -21,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.labelled import in_share
-from ledgerscope.llm.text_bytes import U64, by_block, hash_spans, split, window_hashes
+from ledgerscope.llm.text_bytes import U64, blocks, by_block, hash_spans, split, window_hashes
 from ledgerscope.session import land
 
 UNKNOWN = "und"
 _BLANK = 32
+# Letters are worked on as 8-byte numbers, so these are smaller than blocks of bytes.
+_COUNTED_BYTES = 512 << 10
+_SCORED_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -132,79 +137,75 @@ class LanguageModel:
 
 
 def _counts(sample: DataFrame, params: LanguageParams) -> DataFrame:
-    """``size, key, lang, n``: words (size 0) and n-grams of the sample, counted in blocks first."""
-
-    def work(block: pa.RecordBatch) -> pa.RecordBatch:
-        letters = Letters(block.column("text"))
-        names, lang = np.unique(np.array(block.column("lang").to_pylist(), dtype=object), return_inverse=True)
-        of_word = lang[letters.owners()]
-        every = np.arange(len(letters.starts))
-        parts = [(0, letters.word_hashes(), of_word)]
-        for size in range(1, params.longest + 1):
-            hashes, place = letters.grams(every, size)
-            parts.append((size, hashes, of_word[place]))
-        columns: list[list] = [[], [], [], []]
-        for size, hashes, of in parts:
-            order = np.lexsort((hashes, of))
-            hashes, of = hashes[order], of[order]
-            first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])])[: len(hashes)])
-            columns[0].append(np.full(len(first), size, np.int32))
-            columns[1].append(hashes[first].view(np.int64))
-            columns[2].append(of[first])
-            columns[3].append(np.diff(np.concatenate([first, [len(hashes)]])).astype(np.int64))
-        size, key, of, n = (np.concatenate(c) for c in columns)
-        lang_names = pa.array([names[i] for i in of.tolist()], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(size), pa.array(key), lang_names, pa.array(n)], ["size", "key", "lang", "n"])
-
-    return (
-        sample.mapInArrow(by_block("text", work), "size int, key long, lang string, n long")
-        .groupBy("size", "key", "lang")
-        .agg(F.sum("n").alias("n"))
-    )
+    """``size, key, code, n``: words (size 0) and n-grams of ``sample(text, code)``, counted in blocks first, one size at a time."""
+
+    def counted(size: int, hashes: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((hashes, of))
+        hashes, of = hashes[order], of[order]
+        change = np.ones(len(hashes), dtype=bool)
+        change[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(change)
+        n = np.diff(np.append(first, len(hashes)))
+        columns = [np.full(len(first), size, np.int32), hashes[first].view(np.int64), of[first], n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "key", "code", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text", _COUNTED_BYTES):
+                letters = Letters(block.column("text"))
+                of_word = block.column("code").to_numpy()[letters.owners()]
+                yield counted(0, letters.word_hashes(), of_word)
+                every = np.arange(len(letters.starts))
+                for size in range(1, params.longest + 1):
+                    hashes, place = letters.grams(every, size)
+                    yield counted(size, hashes, of_word[place])
+
+    return sample.mapInArrow(run, "size int, key long, code long, n long").groupBy("size", "key", "code").agg(F.sum("n").alias("n"))
 
 
 def fit_language(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
+    """The model of ``docs(doc_id, text, lang)``; reads them twice, the second time down to the sample."""
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("text").isNotNull()
         & F.col("lang").isNotNull()
         & (split("doc_id") % params.folds != params.held_out)
     )
-    languages = land(usable.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    row = F.xxhash64("doc_id", "text")
+    languages = land(
+        usable.groupBy("lang").agg(F.approx_count_distinct(row).alias("rows")).withColumn("code", F.monotonically_increasing_id()),
+        "languages",
+    )
     n, total = languages.agg(F.count("*"), F.sum("rows")).first()
     among = F.least(F.lit(total or 0), F.col("rows") * n)  # the larger of its share and an equal part
     picked = (
-        usable.join(F.broadcast(languages), "lang")
-        .where(in_share(F.xxhash64("doc_id", "text"), params.sample_rows, among))
-        .select("doc_id", "text", "lang")
+        usable.join(languages, "lang")
+        .where(in_share(row, params.sample_rows, among))
+        .select("doc_id", "text", "code")
+        .dropDuplicates(["doc_id", "text", "code"])
     )
-    counts = _counts(picked, params)
-    by_lang = F.sort_array(F.collect_list(F.struct("lang", "n")))  # one entry per language
-    keyed = counts.groupBy("size", "key").agg(by_lang.alias("found"), F.sum("n").alias("total"))
+    counts = land(_counts(picked.select("text", "code"), params), "counts")
+    by_code = F.collect_list(F.struct("code", "n"))  # one entry per language
+    keyed = counts.groupBy("size", "key").agg(by_code.alias("found"), F.sum("n").alias("total"))
     ordered = [F.desc("total"), F.asc("key")]
-    tops = {
-        size: keyed.where(F.col("size") == size)
-        .orderBy(*ordered)
-        .limit(params.grams if size else params.words)
-        .select("key", "found")
-        .toArrow()
-        for size in range(params.longest + 1)
-    }
-    languages = sorted({x["lang"] for x in tops[1].column("found").combine_chunks().flatten().to_pylist()} if tops[1].num_rows else set())
-    number = {name: i for i, name in enumerate(languages)}
+    named = {r["code"]: r["lang"] for r in languages.join(counts.select("code").distinct(), "code", "left_semi").collect()}
+    names = sorted(named.values())
+    column = {code: names.index(lang) for code, lang in named.items()}
     tables = {}
-    for size, top in tops.items():
+    for size in range(params.longest + 1):
+        most = params.grams if size else params.words
+        top = keyed.where(F.col("size") == size).orderBy(*ordered).limit(most).select("key", "found").toArrow()
         found = top.column("found").combine_chunks()
         keys = top.column("key").to_numpy().view(U64)
-        matrix = np.zeros((len(keys), len(languages)))
+        matrix = np.zeros((len(keys), len(names)))
         if len(keys):
             rows = np.repeat(np.arange(len(keys)), np.diff(found.offsets.to_numpy()))
-            flat = found.flatten()
-            of = np.array([number[x] for x in flat.field("lang").to_pylist()])
-            matrix[rows, of] = flat.field("n").to_numpy()
-        total = matrix.sum(0) + params.smoothing * max(1, len(keys))
+            codes, place = np.unique(found.flatten().field("code").to_numpy(), return_inverse=True)
+            of = np.array([column[c] for c in codes.tolist()])[place]
+            matrix[rows, of] = found.flatten().field("n").to_numpy()
+        whole = matrix.sum(0) + params.smoothing * max(1, len(keys))
         order = np.argsort(keys)
-        tables[size] = Table(keys[order], np.log((matrix + params.smoothing) / total)[order])
-    return LanguageModel(languages, tables.pop(0), tables)
+        tables[size] = Table(keys[order], np.log((matrix + params.smoothing) / whole)[order])
+    return LanguageModel(names, tables.pop(0), tables)
 
 
 def language(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
@@ -221,6 +222,6 @@ def language(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Data
 
     return (
         docs.select("doc_id", "text")
-        .mapInArrow(by_block("text", work), "doc_id long, lang_pred string, score double")
+        .mapInArrow(by_block("text", work, _SCORED_BYTES), "doc_id long, lang_pred string, score double")
         .select("doc_id", (split("doc_id") % params.folds == params.held_out).alias("held_out"), "lang_pred", "score")
     )

@@ -324,18 +324,21 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component; of repeated rows of one id, one."""
+    """The rows of ``docs`` whose document stands for its component; of repeated rows of one id, one.
+
+    Columns of ``docs`` may have any names; rows without an id are all kept; an empty table stays empty.
+    """
     found = land(near_duplicates(docs, params), "found")
+    taken = {c.lower() for c in docs.columns}
+    special, again = (next(n for i in range(len(taken) + 1) if (n := f"{word}_{i}") not in taken) for word in ("special", "again"))
     gone = found.where("not kept").select("doc_id")
-    again = (
+    repeated = (
         found.where("kept and doc_id is not null")
         .groupBy("doc_id")
         .agg(F.count("*").alias("rows"))
         .where("rows > 1")
         .select("doc_id")
     )
-    special = gone.unionByName(again).distinct().select(F.col("doc_id").alias("special"))
-    once = docs.join(again.select(F.col("doc_id").alias("again")), docs["doc_id"] == F.col("again"), "left_semi")
-    return docs.join(special, docs["doc_id"] == special["special"], "left_anti").unionByName(
-        once.dropDuplicates(["doc_id"])
-    )
+    apart = gone.unionByName(repeated).distinct().select(F.col("doc_id").alias(special))
+    once = docs.join(repeated.select(F.col("doc_id").alias(again)), F.col("doc_id") == F.col(again), "left_semi")
+    return docs.join(apart, F.col("doc_id") == F.col(special), "left_anti").unionByName(once.dropDuplicates(["doc_id"]))

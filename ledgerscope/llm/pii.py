@@ -326,7 +326,9 @@ def fit_pii(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
         return pa.RecordBatch.from_arrays(arrays, ["label", "x"])
 
     some = docs.where(F.col("text").isNotNull())
-    sample = some.where(in_share(F.xxhash64("doc_id", "text"), params.sample_rows, some.count()))
+    row = F.xxhash64("doc_id", "text")
+    total = some.agg(F.approx_count_distinct(row)).first()[0]  # rows repeated with id and text count once
+    sample = some.where(in_share(row, params.sample_rows, total)).dropDuplicates(["doc_id", "text"])
     table = sample.mapInArrow(by_block("text", work), "label int, x array<float>").toArrow()
     width = len(span_features("a@b.c", (0, 0, 5), params.context))
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)

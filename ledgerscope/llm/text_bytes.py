@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BLOCK_BYTES = 4 << 20  # working memory of a task is a small multiple of this or of its longest text
+BLOCK_ROWS = 1 << 15  # fewer than 16 bits, so a row's number fits into them
 
 _MUL_1 = U64(0x9E3779B97F4A7C15)
 _MUL_2 = U64(0xD6E8FEB86659FD93)
@@ -76,25 +77,25 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw, offsets - low)
 
 
-def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``BLOCK_BYTES`` of text, or one row."""
+def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes of text and ``BLOCK_ROWS`` rows, or one row."""
     ends = texts_of(batch.column(text)).offsets
     start = 0
     while start < batch.num_rows:
-        stop = int(np.searchsorted(ends, ends[start] + BLOCK_BYTES, side="right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = int(np.searchsorted(ends, ends[start] + most, side="right")) - 1
+        stop = min(max(stop, start + 1), start + BLOCK_ROWS, batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
 
 
 def by_block(
-    text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]
+    text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = BLOCK_BYTES
 ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that applies ``work`` to blocks of bounded size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, text):
+            for block in blocks(batch, text, most):
                 yield work(block)
 
     return run

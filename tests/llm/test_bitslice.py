@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from ledgerscope.llm.bitslice import Block, SearchParams, top_k
+from ledgerscope.llm.bitslice import Block, SearchParams, ordered_bytes, top_k
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -58,6 +58,29 @@ def test_odd_rows(spark):
     assert top_k(frame, frame.limit(0)).count() == 0
 
 
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    sizes = [0.5, 9e6, 65_536.0, 8_388_608.0, 1e18, 3e37]
+    rows = [(int(i), [float(np.float32(rng.choice([-1, 1]) * rng.choice(sizes) * (1 + rng.random()))) for _ in range(3)]) for i in range(120)]
+    rows += [(200, [9e6, 1.0]), (201, [0.25, 0.5, 0.0]), (201, [9e6]), (210, [0.5])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    least, most = -(2**63), 2**63 - 1
+    for params in (SearchParams(), SearchParams(block_rows=16, chunk_queries=3, group_queries=5, wide_rows=7)):
+        got = sorted(map(tuple, top_k(frame, frame.where("vec_id % 10 = 0"), params).collect()))
+        wanted = [(q, r, i, min(max(s, least), most)) for q, r, i, s in brute(rows, lambda i: i % 10 == 0)]
+        assert got == sorted(wanted)
+    double = spark.createDataFrame([(0, [1e300, -2.0]), (1, [1e308, 3.0]), (2, [-1e308, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = [r.vec_id for r in top_k(double, double.where("vec_id = 0")).orderBy("rank").collect()]
+    assert found == [1, 3, 2]
+
+
+def test_bytes_sort_as_numbers_do():
+    rng = np.random.default_rng(7)
+    numbers = [int(x) ** int(p) * int(s) for x, p, s in zip(rng.integers(0, 2**40, 500), rng.integers(0, 9, 500), rng.choice([-1, 1], 500), strict=True)]
+    numbers += [0, 1, -1, 255, 256, -255, -256]
+    assert sorted(numbers) == sorted(numbers, key=ordered_bytes)
+
+
 def test_repeated_queries_have_their_own_rows(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 12)] + [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [-1.0, 0.0])]
     frame = spark.createDataFrame(rows, SCHEMA)

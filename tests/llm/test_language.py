@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm.language import LanguageModel, LanguageParams, Letters, Table, fit_language, language
 from ledgerscope.llm.queries import QUERIES
+from ledgerscope.llm.text_bytes import hash_spans, window_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -50,6 +51,44 @@ def test_held_out_rows(spark):
     assert set(rows.lang_pred) <= {"en", "de", "fr", "es", "und"}
 
 
+def plain_scores(model: LanguageModel, text: str | None) -> list[float]:
+    """Summed log frequencies by language, a word and an n-gram at a time."""
+    tables = {0: dict(zip(model.words.keys.tolist(), model.words.logs.tolist(), strict=True))}
+    tables |= {n: dict(zip(t.keys.tolist(), t.logs.tolist(), strict=True)) for n, t in model.grams.items()}
+    totals = [0.0] * len(model.languages)
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        points = np.array([ord(c) for c in word], np.uint32).view(np.uint8)
+        row = tables[0].get(int(hash_spans(points, np.array([0]), np.array([len(points)]))[0]))
+        for size in sorted(model.grams, reverse=True):
+            if row is not None:
+                break
+            padded = f" {word} " if size > 1 else word
+            hashes = window_hashes(np.array([ord(c) for c in padded], np.uint64), size).tolist()
+            known = [tables[size][h] for h in hashes if h in tables[size]]
+            row = np.mean(known, axis=0).tolist() if known else None
+        totals = [t + x for t, x in zip(totals, row or [0.0] * len(totals), strict=True)]
+    return totals
+
+
+def test_scores_against_one_word_at_a_time(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_language(docs, LanguageParams(words=2_000, grams=500))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(500).collect()]
+    totals, _ = model.totals(Letters(pa.array(texts)))
+    plain = np.array([plain_scores(model, t) for t in texts])
+    assert np.allclose(totals, plain)
+    names, _ = model.predict(pa.array(texts))
+    assert names == [model.languages[i] if any(c.isalpha() for c in t or "") else "und" for t, i in zip(texts, plain.argmax(1), strict=True)]
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    many = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'la vie' as text", "'fr' as lang")
+    few = spark.createDataFrame([(i, f"word{i} the house", "en") for i in range(50)], "doc_id long, text string, lang string")
+    docs = many.unionByName(few)
+    model = fit_language(docs, LanguageParams(folds=4, held_out=9, sample_rows=100))
+    assert model.languages == ["en", "fr"] and len(model.words.keys) < 60
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (None, "ab", None, 1), (3, "ab " * 50_000, "fr", 1), (3, "ab " * 50_000, "fr", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")

@@ -55,3 +55,25 @@ def test_stages(spark, tmp_path):
     for i, text in before.items():
         assert after[i].input_ids == library.encode(text or "", add_special_tokens=False).ids
         assert after[i].round_trip and after[i].n_tokens == len(after[i].input_ids)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, repeated ids, clashing columns and empty tables go through every stage."""
+    import shutil
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{SF}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    given = given.select("doc_id", "text", "lang", "source", "n_chars", *[given["n_chars"].alias(c) for c in ("again", "special", "row", "left", "dropped")])
+    odd = spark.createDataFrame(
+        [(None, None), (None, "a b c d e f g"), (1, None), (1, "same same"), (1, "same same"), (2, ""), (3, "long " * 60_000)], "doc_id long, text string"
+    )
+    every = given.unionByName(odd, allowMissingColumns=True)
+    for docs, name in ((every, "odd"), (every.limit(0), "none")):
+        for stage_name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{name}-{stage_name}"
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert (docs.count() > 0) == (name == "odd")
+        if name == "odd":
+            assert docs.where("doc_id = 1").count() <= 1 and docs.where("not round_trip").count() == 0
