@@ -439,6 +439,8 @@ def _lines(query: str, line: str, number: int) -> str:
     )
 
 
+ORACLE["stream_edges_growing"] = ORACLE["stream_edges"]
+
 # The first two results are there already; the other three are lines of queries above.
 ORACLE["sink_by_client"] = " union all ".join(
     [

@@ -596,6 +596,15 @@ def stream_edges(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.staged_scatter_gather(tables.event_stream(spark, sf), STREAM_PARAMS, BY_CLIENT)
 
 
+def stream_edges_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """All edges in four batches, each joined with the state that those before it left."""
+    path = scratch_path(spark, "edge-files")
+    events = tables.batch_events(spark, sf)
+    events.repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return streaming.growing_scatter_gather(stream, STREAM_PARAMS, BY_CLIENT, buckets=8)
+
+
 def stream_by_client(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.running_bank_max(tables.event_stream(spark, sf), STREAM_PARAMS, BY_CLIENT)
 
@@ -682,5 +691,6 @@ QUERIES: dict[str, Query] = {
     "stream_low_count_by_client": stream_low_count_by_client,
     "stream_side_input": stream_side_input,
     "stream_edges": stream_edges,
+    "stream_edges_growing": stream_edges_growing,
     "stream_by_client": stream_by_client,
 }
