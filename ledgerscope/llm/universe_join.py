@@ -391,8 +391,8 @@ def possible(pairs: DataFrame, sketched: DataFrame, params: JoinParams) -> DataF
     return joined.where(_alike(params)).select("a", "b")
 
 
-def _side(sketched: DataFrame, end: str) -> DataFrame:
-    return sketched.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "band", "own", "below")])
+def _side(sketched: DataFrame, end: str, *more: str) -> DataFrame:
+    return sketched.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "band", "own", "below", *more)])
 
 
 def _alike(params: JoinParams) -> Column:
@@ -440,7 +440,8 @@ def _stars(posts: DataFrame, params: JoinParams) -> DataFrame:
 def _across(posts: DataFrame, found: DataFrame, sketched: DataFrame, params: JoinParams) -> DataFrame:
     """Pairs of different components in one list that their sizes, own tokens and sketches allow.
 
-    In hot lists the sketches travel with the members, so that what they rule out never becomes a row.
+    In hot lists the sketches travel with the members, so that what they rule out never becomes a row, and so do the numbers of
+    the lists that a member is in: a pair is put out in the smallest list that both are in.
     ``room`` is the part of a set in the tokens that may differ less those that are its own: the sum for a pair must not be negative.
     """
     s = params.similarity
@@ -477,8 +478,14 @@ def _across(posts: DataFrame, found: DataFrame, sketched: DataFrame, params: Joi
     a, b = ends(members.where("not hot"))
     cold = possible(a.join(b, "value").where(allowed).select(*in_order).distinct(), sketched, params)
     a, b = ends(members.where("hot"))
-    b = b.join(_side(sketched, "b"), "b")
-    hot = a.join(_side(sketched, "a"), "a").join(b, "value").where(allowed & _alike(params)).select(*in_order).distinct()
+    lists = members.where("hot").groupBy("node").agg(F.collect_set("value").alias("lists"))
+    carried = land(lists.join(sketched, "node"), "carried")
+
+    def side(end: str) -> DataFrame:
+        return _side(carried, end, "lists")
+
+    once = F.col("value") == F.array_min(F.array_intersect("lists_a", "lists_b"))
+    hot = a.join(side("a"), "a").join(b.join(side("b"), "b"), "value").where(allowed & _alike(params) & once).select(*in_order).distinct()
     return cold.unionByName(hot)
 
 
