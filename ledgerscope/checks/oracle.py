@@ -311,6 +311,14 @@ union all select fb, fa, tb, ta, false from gather"""),
     "format_sum_count": _tx("""
 select lower(payment_format) as format_key, round(sum(amount), 4) as total_amount,
   count(*) as tx_count from usd_1 group by 1"""),
+    # Whole numbers of 1/2**60 add up exactly, and a number read from text is the nearest double.
+    "format_sum_exact": _tx("""
+select *, total_amount / tx_count as average_amount from (
+  select lower(payment_format) as format_key,
+    cast(cast(sum(cast(amount * 1152921504606846976.0E0 as hugeint)) as varchar) as double) / 1152921504606846976.0E0
+      as total_amount,
+    count(*) as tx_count
+  from usd_1 group by 1)"""),
     "q3_format_average": _tx("""
 select lower(payment_format) as format_key, round(avg(amount), 6) as average_amount
 from usd_1 group by 1"""),

@@ -651,6 +651,7 @@ QUERIES: dict[str, Query] = {
     "q2_bank_max_merged": q2_bank_max_merged,
     "q2_bank_max_window": q2_bank_max_window,
     "format_sum_count": format_sum_count,
+    "format_sum_exact": lambda spark, sf: aggregates.exact_format_totals(_usd_period_1(spark, sf)),
     "q3_format_average": q3_format_average,
     "low_amount_count": low_amount_count,
     "q5_count": q5_count,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import bank_number, format_key
+from ledgerscope.operators.exact_sums import exact_sums
 from ledgerscope.operators.filters import is_low_converted
 
 
@@ -76,6 +77,18 @@ def format_totals(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def exact_format_totals(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Like `format_totals`, with sums that are the same bits in any order of the rows, and the averages of these sums."""
+    rows = tx.select(*by, format_key("payment_format").alias("format_key"), "amount")
+    return exact_sums(rows, [*by, "format_key"], "amount").select(
+        *by,
+        "format_key",
+        F.col("total").alias("total_amount"),
+        F.col("number").alias("tx_count"),
+        F.when(F.col("number") > 0, F.col("total") / F.col("number")).alias("average_amount"),
+    )
+
+
 def format_averages(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Average amount per payment format; formats without an amount are left out."""
     return (
