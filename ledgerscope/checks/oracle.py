@@ -197,6 +197,7 @@ select * from (values
   (date '2022-09-04', 'BTC', 1.0E0 / 19952.7E0),
   (date '2022-09-05', 'BTC', 1.0E0 / 20126.1E0)) btc(rate_date, iso, rate)"""),
     "stream_scan": _events("select * from ev"),
+    "stream_scan_numbered": _tx("select * from tx"),
     "sink_query_csv": _tx(f"select {_LINE_1} as line from usd where amount < 10"),
     "sink_by_client": _with(
         [TX, ACCOUNTS, _NAMES, _ranked("usd", "payment_format,")],
@@ -394,6 +395,9 @@ select c_custkey, {_SHARD} as shard from (
     "ledger_q3": _Q3,
     "ledger_q4": _ACCOUNTS_4,
     "ledger_q5": _rates(f"select count(*) as count from priced where {_LOW}"),
+    "summary_q2": _bank_max("left"),
+    "summary_q3": _Q3,
+    "summary_q5": _rates(f"select count(*) as count from priced where {_LOW}"),
     # streaming
     "stream_q1": _events(f"select {_RESULT_1} from ev_usd where amount < 10").replace(
         f"select {_RESULT_1}", f"select client_id, {_RESULT_1}"
@@ -462,3 +466,5 @@ ORACLE["sink_by_client"] = " union all ".join(
         _lines("q5_count_by_client", "cast(count as varchar)", 5),
     ]
 )
+
+ORACLE["summary_q5_by_client"] = ORACLE["q5_count_by_client"]

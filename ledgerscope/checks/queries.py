@@ -16,9 +16,11 @@ from ledgerscope.operators import projections as proj
 from ledgerscope.session import scratch_path
 from ledgerscope.sources import (
     land_ledger,
+    numbered_transactions,
     read_accounts,
     read_fx_rates,
     read_transactions,
+    stream_lines,
 )
 from ledgerscope.sources import order_tables as tables
 from ledgerscope.sources.order_tables import PARAMS, STREAM_PARAMS
@@ -128,6 +130,19 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.run_appending(tables.event_stream(spark, sf), "stream-scan")
 
 
+def stream_scan_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Bank files in two deliveries, read in byte ranges; all lines arrive twice and are kept once, by file and byte."""
+    files, table = scratch_path(spark, "numbered-csv"), scratch_path(spark, "numbered")
+    tx = _tx(spark, sf)
+    odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
+    for rows in (tx.where(odd), tx.where(~odd)):
+        tables.raw_transactions(rows).write.option("header", True).mode("append").csv(files)
+        once, again = (numbered_transactions(stream_lines(spark, files, split=1 << 20)) for _ in range(2))
+        kept = streaming.drop_seen(once.unionByName(again), ["message_id"])
+        result = streaming.run_appending(kept, "numbered", table)
+    return proj.normalize_transactions(result.drop("message_id"))
+
+
 def sink_query_csv(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "out")
     path = sinks.write_query_csv(plans.low_usd_transfers(_tx(spark, sf), PARAMS), 1, "a", out)
@@ -541,6 +556,34 @@ def ledger_q3(spark: SparkSession, sf: str) -> DataFrame:
     return plans.anomalous_transfers(ledger, PARAMS)
 
 
+def _summaries(spark: SparkSession, sf: str, by: list[str] | None = None) -> plans.Summaries:
+    """Ledger and states brought in together: one half, its parts once more, and the other half on top."""
+    by = by or []
+    path, tx = scratch_path(spark, "ledger"), _client_tx(spark, sf)
+    rates = tables.fx_rates(spark, sf)
+    odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
+    for rows, mode in ((tx.where(~odd), "replace"), (tx.where(~odd), "parts"), (tx.where(odd), "append")):
+        ledger = land_ledger(rows, f"{path}/rows", by, "month", mode)
+        summaries = plans.land_summaries(rows, ledger, rates, f"{path}/states", PARAMS, by, "month", mode)
+    return summaries
+
+
+def summary_q2(spark: SparkSession, sf: str) -> DataFrame:
+    return _summaries(spark, sf).largest_per_bank(tables.accounts(spark, sf))
+
+
+def summary_q3(spark: SparkSession, sf: str) -> DataFrame:
+    return _summaries(spark, sf).anomalous_transfers()
+
+
+def summary_q5(spark: SparkSession, sf: str) -> DataFrame:
+    return _summaries(spark, sf).low_converted_count()
+
+
+def summary_q5_by_client(spark: SparkSession, sf: str) -> DataFrame:
+    return _summaries(spark, sf, BY_CLIENT).low_converted_count()
+
+
 # --- streaming -----------------------------------------------------------------
 
 
@@ -615,6 +658,7 @@ QUERIES: dict[str, Query] = {
     "scan_accounts": scan_accounts,
     "scan_fx_rates": scan_fx_rates,
     "stream_scan": stream_scan,
+    "stream_scan_numbered": stream_scan_numbered,
     "sink_query_csv": sink_query_csv,
     "sink_by_client": sink_by_client,
     "verify_multiset": verify_multiset,
@@ -683,6 +727,10 @@ QUERIES: dict[str, Query] = {
     "ledger_q3": ledger_q3,
     "ledger_q4": ledger_q4,
     "ledger_q5": ledger_q5,
+    "summary_q2": summary_q2,
+    "summary_q3": summary_q3,
+    "summary_q5": summary_q5,
+    "summary_q5_by_client": summary_q5_by_client,
     "stream_q1": stream_q1,
     "stream_dedup": stream_dedup,
     "stream_dedup_watermark": stream_dedup_watermark,

@@ -4,8 +4,9 @@ A double is a whole number times a power of two. It is cut into digits of ``BITS
 of one place are added as 64-bit numbers (exact in any order, for up to 2**40 rows of one place), and only the total is
 rounded, once, to the nearest double with ties to even. The result is that of Python's ``math.fsum``.
 
-There are two aggregations: one per key and place of a number's lowest digit, with Spark's partial stage, which turns any number
-of rows into some few per key (amounts of money lie within two or three places, all doubles within 107), and one per key over these.
+A first aggregation goes by key and place of a number's lowest digit, with Spark's partial stage, and turns any number
+of rows into some few per key (amounts of money lie within two or three places, all doubles within 107). These can be stored and
+merged; the last aggregation goes by key over them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 BITS = 20
 PARTS = 4  # a number of up to 55 bits, moved by up to 19, has at most four digits
 LOWEST = -1074  # the exponent of the smallest double; digit 0 begins here
+FLAGS = ("has_nan", "has_plus", "has_minus")
+STATE = ("place", *(f"part_{i}" for i in range(PARTS)), "number", *FLAGS)
 CARRIES = 4  # further digits for the carries of 63-bit sums
 
 
@@ -48,6 +51,17 @@ def exact_sums(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     sign give it; a total beyond the range of doubles is infinite; a total of zero is 0.0. Without ``by`` there is always one row.
     Other columns of ``df`` may have any name, and keys may be null.
     """
+    names = [f"key_{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(name) for name, c in zip(names, by)], F.col(value).alias("value"))
+    sums = finished_sums(partial_sums(rows, names, "value"), names)
+    return sums.select(*[F.col(name).alias(c) for name, c in zip(names, by)], "total", "number")
+
+
+def partial_sums(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """State of the sums, which may be stored: ``by`` and the columns of ``STATE``, some few rows per key.
+
+    States of parts of a table, put together in any way, are a state of the whole table. No key may be named like a column of it.
+    """
     keys = [F.col(c).alias(f"key_{i}") for i, c in enumerate(by)]
     names = [f"key_{i}" for i in range(len(by))]
     x = F.col(value).cast("double")
@@ -79,14 +93,26 @@ def exact_sums(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.max(infinite & (F.col("x") > 0)).alias("has_plus"),
         F.max(infinite & (F.col("x") < 0)).alias("has_minus"),
     )
-    # At most one row per key and place is left here, whatever the number of rows was.
+    return sums.select(*[F.col(name).alias(c) for name, c in zip(names, by)], *STATE)
+
+
+def finished_sums(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sums of `exact_sums` from states of parts of a table. Each part adds at most 107 rows per key."""
+    names = [f"key_{i}" for i in range(len(by))]
+    states = states.select(*[F.col(c).alias(name) for name, c in zip(names, by)], *STATE)
+    # First by place, so that the array below has at most one entry per place, however many parts there are.
+    sums = states.groupBy(*names, "place").agg(
+        *[F.sum(f"part_{i}").alias(f"part_{i}") for i in range(PARTS)],
+        F.sum("number").alias("number"),
+        *[F.max(c).alias(c) for c in FLAGS],
+    )
     digit = [
         F.struct((F.col("place") + i).alias("place"), F.col(f"part_{i}").alias("part")) for i in range(PARTS)
     ]
     totals = sums.groupBy(*names).agg(
         F.flatten(F.collect_list(F.array(*digit))).alias("parts"),
         F.coalesce(F.sum("number"), F.lit(0)).alias("number"),
-        *[F.max(c).alias(c) for c in ("has_nan", "has_plus", "has_minus")],
+        *[F.max(c).alias(c) for c in FLAGS],
     )
     total = (
         F.when(F.col("number") == 0, F.lit(None).cast("double"))

@@ -74,26 +74,30 @@ def anomalies(
     return keyed.join(averages, condition, "left_semi").select(*tx.columns)
 
 
-def conversion_rates(rates: DataFrame, period: Period, params: RiskParams) -> DataFrame:
+def conversion_rates(rates: DataFrame, period: Period | None, params: RiskParams) -> DataFrame:
     """Rates of the period keyed by day and currency name.
 
     There is at most one row per day and listed currency, so the size is known
     before anything runs: it is marked for broadcast while days x currencies
     stay within the limit. Of several rates for one key the smallest is taken.
+    Without a period there are all rates, of unknown number and so unmarked.
     """
-    first, last = period.start.date(), period.end.date()
+    if period is not None:
+        first, last = period.start.date(), period.end.date()
+        rates = rates.where(F.col("rate_date").between(F.lit(first), F.lit(last)))
     iso_name = F.create_map(
         *[F.lit(text) for name, iso in CURRENCY_ISO.items() for text in (iso, name)]
     )
     table = (
-        rates.where(F.col("rate_date").between(F.lit(first), F.lit(last)))
-        .where(F.col("iso").isin(*CURRENCY_ISO.values()))
+        rates.where(F.col("iso").isin(*CURRENCY_ISO.values()))
         .groupBy("rate_date", "iso")
         .agg(F.min("rate").alias("rate"))
         .select(
             "rate_date", F.try_element_at(iso_name, F.col("iso")).alias("currency_key"), "rate"
         )
     )
+    if period is None:
+        return table
     rows = ((last - first).days + 1) * len(CURRENCY_ISO)
     return F.broadcast(table) if rows <= params.side_rows else table
 

@@ -9,9 +9,12 @@ from ledgerscope.plans.questions import (
     scatter_gather_accounts,
     scatter_gather_account_pairs,
 )
+from ledgerscope.plans.summaries import Summaries, land_summaries
 
 __all__ = [
+    "Summaries",
     "anomalous_transfers",
+    "land_summaries",
     "largest_per_bank",
     "low_converted_count",
     "low_usd_transfers",
