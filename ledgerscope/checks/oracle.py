@@ -404,6 +404,7 @@ select c_custkey, {_SHARD} as shard from (
     ),
     "stream_dedup": _events("select * from ev"),
     "stream_dedup_watermark": _events("select * from ev"),
+    "stream_dedup_evicting": _events("select * from ev"),
     "stream_bank_max": _with(
         [EVENTS, _ranked("ev_usd")],
         "select bank_id, from_account, amount from ranked where place = 1",
@@ -430,6 +431,13 @@ from (select distinct client_id from ev) c left join low using (client_id)"""),
 select client_id, from_bank, from_account, amount as amount_paid
 from ev_2 join by_client on lower(trim(payment_format)) = format_key and client_id = client
 where average_amount > 0 and amount < 0.01E0 * average_amount"""),
+    "stream_side_input_held": _events("""
+, by_client as (select client_id as client, lower(trim(payment_format)) as format_key,
+    avg(amount) as average_amount
+  from ev_1 where lower(currency) = 'us dollar' group by 1, 2)
+select client_id, from_bank, from_account, amount as amount_paid
+from ev_2 join by_client on lower(trim(payment_format)) = format_key and client_id = client
+where average_amount > 0 and amount < 0.01E0 * average_amount and client_id <> 'client-2'"""),
     "stream_edges": _events("""
 , e as (select distinct client_id as c, from_bank as fb, from_account as fa, to_bank as tb,
     to_account as ta from ev_usd),

@@ -605,6 +605,20 @@ def stream_dedup_watermark(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_dedup_evicting(spark: SparkSession, sf: str) -> DataFrame:
+    """The month in six deliveries, each of them twice, with a delay that lets ids of earlier deliveries go."""
+    path = scratch_path(spark, "deliveries")
+    events = tables.batch_events(spark, sf)
+    sixth = F.floor((F.dayofmonth("ts") - 1) / 6)
+    for number in range(6):
+        for _ in range(2):
+            events.where(sixth == number).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return streaming.run_appending(
+        streaming.drop_seen(stream, event_time="ts", delay="7 days"), "stream-dedup"
+    )
+
+
 def stream_bank_max(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.running_bank_max(tables.event_stream(spark, sf), STREAM_PARAMS)
 
@@ -635,6 +649,25 @@ def stream_side_input(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.staged_anomalies(tables.event_stream(spark, sf), STREAM_PARAMS, BY_CLIENT)
 
 
+def stream_side_input_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the later period first, then the earlier ones with marks of two of the three clients; the third waits on."""
+    path = scratch_path(spark, "held")
+    events = tables.batch_events(spark, sf)
+    later = F.col("ts") >= F.lit(STREAM_PARAMS.period_2.start)
+    marks = spark.createDataFrame([("client-0", "end"), ("client-1", "side")], "client_id string, mark string")
+    for rows, said in ((events.where(later), marks.limit(0)), (events.where(~later), marks)):
+        rows.write.mode("append").parquet(f"{path}/rows")
+        said.write.mode("append").parquet(f"{path}/marks")
+        result = streaming.held_anomalies(
+            spark.readStream.schema(events.schema).parquet(f"{path}/rows"),
+            spark.readStream.schema(marks.schema).parquet(f"{path}/marks"),
+            STREAM_PARAMS,
+            f"{path}/kept",
+            BY_CLIENT,
+        )
+    return result
+
+
 def stream_edges(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.staged_scatter_gather(tables.event_stream(spark, sf), STREAM_PARAMS, BY_CLIENT)
 
@@ -734,11 +767,13 @@ QUERIES: dict[str, Query] = {
     "stream_q1": stream_q1,
     "stream_dedup": stream_dedup,
     "stream_dedup_watermark": stream_dedup_watermark,
+    "stream_dedup_evicting": stream_dedup_evicting,
     "stream_bank_max": stream_bank_max,
     "stream_format_avg": stream_format_avg,
     "stream_low_count": stream_low_count,
     "stream_low_count_by_client": stream_low_count_by_client,
     "stream_side_input": stream_side_input,
+    "stream_side_input_held": stream_side_input_held,
     "stream_edges": stream_edges,
     "stream_edges_growing": stream_edges_growing,
     "stream_by_client": stream_by_client,

@@ -5,6 +5,7 @@ the shared folder, and is restarted from its checkpoint like any other stream.
 """
 
 from ledgerscope.streaming.growing_graph import GrowingGraph, growing_scatter_gather
+from ledgerscope.streaming.held import held_anomalies, held_counts
 from ledgerscope.streaming.running import (
     running_bank_max,
     running_format_averages,
@@ -17,6 +18,8 @@ __all__ = [
     "GrowingGraph",
     "drop_seen",
     "growing_scatter_gather",
+    "held_anomalies",
+    "held_counts",
     "run_appending",
     "run_updating",
     "running_bank_max",

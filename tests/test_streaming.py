@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from datetime import datetime, timedelta
 
 import pytest
 from bank_files import TRANSACTIONS, scatter_gather_edges, write
@@ -129,6 +130,30 @@ def test_repeated_files_count_once(spark, tmp_path, event_time):
     assert rows(got) == rows(tables.event_transactions(events))
 
 
+def test_ids_are_forgotten_after_the_delay(spark, tmp_path):
+    source, out = str(tmp_path / "messages"), str(tmp_path / "out")
+    schema = "client_id string, message_id string, ts timestamp_ntz"
+    # a comes again within the delay and long after it; the last message is only there to push the time on.
+    arrivals = [("a", 0), ("b", 0), ("a", 1), ("c", 30), ("d", 31), ("a", 32), ("e", 60), ("f", 61)]
+    for message, hour in arrivals:
+        row = spark.createDataFrame([("x", message, datetime(2024, 1, 1) + timedelta(hours=hour))], schema)
+        row.coalesce(1).write.mode("append").parquet(source)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        streaming.drop_seen(files, event_time="ts", delay="2 hours")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", f"{out}-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = spark.read.schema(schema).parquet(out)
+    assert sorted(r["message_id"] for r in got.collect()) == ["a", "a", "b", "c", "d", "e", "f"]
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 4 and sizes[-1] < 4
+
+
 def test_a_message_id_of_another_client_is_another_message(spark, tmp_path):
     source = str(tmp_path / "messages")
     df = spark.createDataFrame(
