@@ -221,6 +221,9 @@ select from_bank, from_account, to_bank, to_account, amount_paid,
   coalesce(a.n, 0) - coalesce(b.n, 0) as surplus
 from a full join b using (from_bank, from_account, to_bank, to_account, amount_paid)
 where coalesce(a.n, 0) <> coalesce(b.n, 0)"""),
+    "verify_multiset_quick": _tx(f"""
+select {_RESULT_1}, -count(*) as surplus from tx
+where amount < 12 and lower(payment_format) = 'wire' group by all"""),
     # projections
     "tx_normalize": _tx("select * from tx"),
     "tx_normalize_valid": _tx(

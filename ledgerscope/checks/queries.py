@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope import functions as fn
-from ledgerscope import plans, sinks, streaming
+from ledgerscope import fingerprints, plans, sinks, streaming
 from ledgerscope.operators import aggregates, filters, graph, joins
 from ledgerscope.operators import projections as proj
 from ledgerscope.session import scratch_path
@@ -190,6 +190,13 @@ def verify_multiset(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def verify_multiset_quick(spark: SparkSession, sf: str) -> DataFrame:
+    """All transfers against those where wires below 12 are missing: by fingerprints, then by rows of changed buckets."""
+    tx = _tx(spark, sf)
+    cut = tx.where((F.col("amount") >= 12) | (F.lower("payment_format") != "wire"))
+    return fingerprints.quick_multiset_diff(proj.as_result(cut, 1), proj.as_result(tx, 1))
+
+
 # --- projections ---------------------------------------------------------------
 
 
@@ -695,6 +702,7 @@ QUERIES: dict[str, Query] = {
     "sink_query_csv": sink_query_csv,
     "sink_by_client": sink_by_client,
     "verify_multiset": verify_multiset,
+    "verify_multiset_quick": verify_multiset_quick,
     "verify_result_files": verify_result_files,
     "tx_normalize": tx_normalize,
     "tx_normalize_valid": tx_normalize_valid,
