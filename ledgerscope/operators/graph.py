@@ -22,13 +22,18 @@ pairs, and one m may take part in a third of all transfers. What is done:
 * if accounts are asked for and not pairs, an s and a t with the same first k
   hubs are settled by that alone. Grouping by these lists settles accounts
   around many hubs without a pair, and pairs of two settled accounts are not
-  looked for at all.
+  looked for at all;
+* a sketch of all accounts next to it travels with every account's edges. A pair whose
+  sketches have no room for k shared ones is dropped inside the join, and after counting a pair
+  whose left-out hubs cannot fill what it lacks; lists of hubs are fetched for the others only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +42,8 @@ from ledgerscope.operators.filters import in_period, require_fields, usd_only
 from ledgerscope.params import RiskParams
 from ledgerscope.session import land
 
+SKETCH_WORDS = 8  # of 64 bits: good for accounts with up to some hundred others; beyond, fewer pairs fail the test
+
 
 def _node(side: str, by: Sequence[str]) -> Column:
     return F.struct(
@@ -234,7 +241,8 @@ class NumberedGraph:
 
     Paths outnumber edges by far, so the accounts are numbered before: pairs are
     then grouped and shuffled as two integers instead of four texts. The numbers
-    are written with the accounts, hence they are the same for every reader.
+    are written with the accounts, hence they are the same for every reader, and go
+    by falling in x out: of two accounts between, the hotter one has the smaller number.
     """
 
     accounts: DataFrame  # node, number, in_degree, out_degree
@@ -257,8 +265,9 @@ def _may_end(k: int) -> Column:
 def number_accounts(edges: DataFrame, k: int) -> NumberedGraph:
     """Number the accounts; edges which cannot be half of a path are left out."""
     edges = land(edges, "edges")
+    heat = F.col("in_degree").cast("double") * F.col("out_degree")
     accounts = land(
-        account_degrees(edges).withColumn("number", F.monotonically_increasing_id()), "accounts"
+        account_degrees(edges).orderBy(heat.desc()).withColumn("number", F.monotonically_increasing_id()), "accounts"
     )
 
     def end(name: str) -> DataFrame:
@@ -309,21 +318,59 @@ def has_hubs(graph: NumberedGraph, hub_paths: int | None) -> bool:
     return not graph.accounts.where(load > hub_paths).isEmpty()
 
 
-def _first_hubs(half: DataFrame, end: str, k: int, hub_paths: int) -> DataFrame:
-    """Per account ``end`` its first k hubs as a sorted list of (coolness, mid).
+def _with_sketch(half: DataFrame, end: str, k: int, hub_paths: int) -> DataFrame:
+    """The half with what the account ``end`` has besides: ``{end}_bits``, ``{end}_spare``, ``{end}_left`` and ``place``.
 
-    The rank limit is applied before the shuffle as well, so an account with any
-    number of hubs sends k of them per task.
+    The bits are a sketch of all its accounts between, one bit each; ``spare`` is by how many these exceed the bits that
+    are set; ``left`` has the bits of its first k-1 hubs. Places count its hubs from the hottest one; what is no hub has
+    none. One sort by account gives all of it, and an account's rows may spill.
     """
-    hottest = Window.partitionBy(end).orderBy("coolness", "mid")
-    return (
-        half.where(_load() > hub_paths)
-        .select(end, (-_load()).alias("coolness"), "mid")
-        .withColumn("place", F.row_number().over(hottest))
-        .where(F.col("place") <= k)
-        .groupBy(end)
-        .agg(F.sort_array(F.collect_list(F.struct("coolness", "mid"))).alias("hubs"))
+    hottest = Window.partitionBy(end).orderBy("mid")
+    whole = hottest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = half.select(
+        "*",
+        F.pmod(F.xxhash64("mid"), F.lit(64 * SKETCH_WORDS)).cast("int").alias("bit"),
+        F.when(_load() > hub_paths, F.row_number().over(hottest)).alias("place"),
     )
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+    words = [F.when(F.floor(F.col("bit") / 64) == i, one).otherwise(F.lit(0)) for i in range(SKETCH_WORDS)]
+    rows = rows.select(
+        *half.columns,
+        "place",
+        F.count("*").over(whole).alias("mids"),
+        F.collect_list(F.when(F.col("place") < k, F.col("bit"))).over(whole).alias(f"{end}_left"),
+        F.array(*[F.bit_or(word).over(whole) for word in words]).alias(f"{end}_bits"),
+    )
+    spare = F.col("mids") - reduce(add, [F.bit_count(F.get(f"{end}_bits", F.lit(i))) for i in range(SKETCH_WORDS)])
+    return rows.withColumn(f"{end}_spare", spare).drop("mids")
+
+
+def _may_share(k: int) -> Column:
+    """The sketches of a pair leave room for k accounts between.
+
+    Different bits of what they share are set in both sketches, and what shares a bit with another one
+    is spare at either end; so no pair with k accounts between fails.
+    """
+    word = [[F.get(f"{end}_bits", F.lit(i)) for end in ("src", "dst")] for i in range(SKETCH_WORDS)]
+    same = [F.bit_count(a.bitwiseAND(b)) for a, b in word]
+    return reduce(add, same) + F.least("src_spare", "dst_spare") >= k
+
+
+def _left_out_at_most(k: int) -> Column:
+    """No pair shares more accounts that were left out: all belong to one end, and their bits are set at the other."""
+
+    def known(end: str, other: str) -> Column:
+        hubs = [F.get(f"{end}_left", F.lit(i)) for i in range(k - 1)]
+        words = [F.get(f"{other}_bits", F.floor(bit / 64).cast("int")) for bit in hubs]
+        shared = [F.call_function("shiftright", word, bit % 64).bitwiseAND(F.lit(1)) for word, bit in zip(words, hubs)]
+        return reduce(add, [F.coalesce(one, F.lit(0).cast("long")) for one in shared], F.lit(0).cast("long"))
+
+    return F.greatest(known("src", "dst"), known("dst", "src"))
+
+
+def _first_hubs(half: DataFrame, end: str, k: int) -> DataFrame:
+    """Per account ``end`` its first k hubs as a sorted list of numbers, hottest first."""
+    return half.where(F.col("place") <= k).groupBy(end).agg(F.sort_array(F.collect_list("mid")).alias("hubs"))
 
 
 def _settled(own: DataFrame, others: DataFrame, end: str, other_end: str, k: int) -> DataFrame:
@@ -338,21 +385,40 @@ def _settled(own: DataFrame, others: DataFrame, end: str, other_end: str, k: int
     return own.where(full).join(groups, "hubs").where(partner).select(end)
 
 
-def _without_first(half: DataFrame, hubs: DataFrame, end: str, k: int, name: str) -> DataFrame:
-    """Drop the edges to the first k-1 hubs of every account and list those as ``name``."""
-    left_out = hubs.select(end, F.slice("hubs", 1, k - 1).alias(name))
-    mids = F.transform(F.coalesce(F.col(name), F.array()), lambda hub: hub["mid"])
-    kept = half.join(left_out, end, "left").where(~F.array_contains(mids, F.col("mid")))
-    return land(kept, name)
+def _without_first(half: DataFrame, k: int) -> DataFrame:
+    """Drop the edges to the first k-1 hubs of every account."""
+    return half.where(F.col("place").isNull() | (F.col("place") >= k)).drop("place")
+
 
+def _found(paths: DataFrame, k: int) -> DataFrame:
+    """Pairs that may have k accounts between, with ``kept``, the number of their paths that were joined.
 
-def _complete(paths: DataFrame, edges: DataFrame, k: int, exact: bool) -> DataFrame:
-    """Pairs with k accounts between, from paths without the hubs left out.
+    The sketches are tested within the join, so the paths of other pairs are not shuffled; of the rest
+    numbers go into the shuffle and no lists.
+    """
+    return (
+        paths.where(_may_share(k))
+        .select("src", "dst", _left_out_at_most(k).alias("more"))
+        .groupBy("src", "dst")
+        .agg(F.count("*").alias("kept"), F.max("more").alias("more"))
+        .where(F.col("kept") + F.col("more") >= k)
+        .drop("more")
+    )
+
+
+def _complete(
+    found: DataFrame, src_hubs: DataFrame, dst_hubs: DataFrame, edges: DataFrame, k: int, exact: bool
+) -> DataFrame:
+    """Pairs with k accounts between, from pairs counted without the hubs left out.
 
     ``mids`` is their number if ``exact``; otherwise nothing more is asked about
-    a pair that has enough already.
+    a pair that has enough already. The lists of hubs are fetched for these pairs only.
     """
-    found = paths.groupBy("src", "dst", "src_hubs", "dst_hubs").agg(F.count("*").alias("kept"))
+
+    def left_out(hubs: DataFrame, end: str) -> DataFrame:
+        return hubs.select(end, F.slice("hubs", 1, k - 1).alias(f"{end}_hubs"))
+
+    found = found.join(left_out(src_hubs, "src"), "src", "left").join(left_out(dst_hubs, "dst"), "dst", "left")
 
     def listed(name: str) -> Column:
         return F.coalesce(F.col(name), F.array())
@@ -367,16 +433,16 @@ def _complete(paths: DataFrame, edges: DataFrame, k: int, exact: bool) -> DataFr
     asked = F.concat(
         F.transform(
             kept_elsewhere("dst_hubs", "src_hubs"),
-            lambda hub: F.struct(F.col("src").alias("a"), hub["mid"].alias("b")),
+            lambda hub: F.struct(F.col("src").alias("a"), hub.alias("b")),
         ),
         F.transform(
             kept_elsewhere("src_hubs", "dst_hubs"),
-            lambda hub: F.struct(hub["mid"].alias("a"), F.col("dst").alias("b")),
+            lambda hub: F.struct(hub.alias("a"), F.col("dst").alias("b")),
         ),
     )
     both = F.size(F.array_intersect(listed("src_hubs"), listed("dst_hubs")))
     known = found.select("src", "dst", (F.col("kept") + both).alias("mids"), asked.alias("asked"))
-    open_pairs = known.where(F.col("mids") + F.size("asked") >= k)
+    open_pairs = land(known.where(F.col("mids") + F.size("asked") >= k), "open-pairs")
     asking = open_pairs if exact else open_pairs.where(F.col("mids") < k)
     more = (
         asking.select("src", "dst", F.inline("asked"))
@@ -397,20 +463,23 @@ def _plain_pairs(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return path_counts(paths).where(F.col("mids") >= k)
 
 
+def _ranked(first: DataFrame, second: DataFrame, k: int, hub_paths: int) -> tuple[DataFrame, DataFrame]:
+    return (
+        land(_with_sketch(first, "src", k, hub_paths), "ranked-first"),
+        land(_with_sketch(second, "dst", k, hub_paths), "ranked-second"),
+    )
+
+
 def _named_pairs(edges: DataFrame, params: RiskParams, prune: bool, exact: bool) -> DataFrame:
     k = params.min_intermediaries
     needed = k if prune else 1
     graph = number_accounts(edges, needed)
     first, second = _search_halves(graph, needed)
     if has_hubs(graph, params.hub_paths):
-        src_hubs = _first_hubs(first, "src", k, params.hub_paths)
-        dst_hubs = _first_hubs(second, "dst", k, params.hub_paths)
-        paths = _join_halves(
-            _without_first(first, src_hubs, "src", k, "src_hubs"),
-            _without_first(second, dst_hubs, "dst", k, "dst_hubs"),
-            params.hub_paths,
-        )
-        pairs = _complete(paths, graph.edges, k, exact)
+        first, second = _ranked(first, second, k, params.hub_paths)
+        paths = _join_halves(_without_first(first, k), _without_first(second, k), params.hub_paths)
+        hubs = _first_hubs(first, "src", k), _first_hubs(second, "dst", k)
+        pairs = _complete(_found(paths, k), *hubs, graph.edges, k, exact)
     else:
         pairs = _plain_pairs(first, second, k)
     named = pairs.join(graph.names("src"), "src").join(graph.names("dst"), "dst")
@@ -451,12 +520,12 @@ def scatter_gather_nodes(edges: DataFrame, params: RiskParams, prune: bool = Tru
 def _nodes_around_hubs(
     first: DataFrame, second: DataFrame, graph: NumberedGraph, k: int, hub_paths: int
 ) -> DataFrame:
-    src_hubs = land(_first_hubs(first, "src", k, hub_paths), "src-hubs")
-    dst_hubs = land(_first_hubs(second, "dst", k, hub_paths), "dst-hubs")
+    first, second = _ranked(first, second, k, hub_paths)
+    src_hubs = land(_first_hubs(first, "src", k), "src-hubs")
+    dst_hubs = land(_first_hubs(second, "dst", k), "dst-hubs")
     src_done = land(_settled(src_hubs, dst_hubs, "src", "dst", k), "src-settled")
     dst_done = land(_settled(dst_hubs, src_hubs, "dst", "src", k), "dst-settled")
-    first = _without_first(first, src_hubs, "src", k, "src_hubs")
-    second = _without_first(second, dst_hubs, "dst", k, "dst_hubs")
+    first, second = _without_first(first, k), _without_first(second, k)
     open_first = first.join(src_done, "src", "left_anti")
     done_first = first.join(src_done, "src", "left_semi")
     open_second = second.join(dst_done, "dst", "left_anti")
@@ -464,7 +533,8 @@ def _nodes_around_hubs(
         _join_halves(done_first, open_second, hub_paths)
     )
     settled = src_done.toDF("number").unionByName(dst_done.toDF("number"))
-    return settled.unionByName(_ends(_complete(paths, graph.edges, k, exact=False)))
+    found = _found(paths, k)
+    return settled.unionByName(_ends(_complete(found, src_hubs, dst_hubs, graph.edges, k, exact=False)))
 
 
 def path_endpoints(pairs: DataFrame) -> DataFrame:

@@ -160,3 +160,16 @@ def test_degrees(spark, edges):
     for row in graph.account_degrees(edges).collect():
         key = (row["node"]["client_id"], row["node"]["account"])
         assert (row["in_degree"], row["out_degree"]) == (len(into[key]), len(out[key]))
+
+
+def test_no_list_of_hubs_goes_into_the_count_of_paths(spark, edges):
+    """Paths are grouped by two numbers; the sketch drops a pair with too little in common before."""
+    first = spark.createDataFrame([(1, m, 9.0, 9.0) for m in range(6)] + [(2, m, 9.0, 9.0) for m in range(4)], "src long, mid long, mid_in double, mid_out double")
+    second = first.withColumnRenamed("src", "dst").selectExpr("mid", "dst + 10 as dst", "mid_in", "mid_out")
+    first, second = graph._ranked(first, second, 5, 10)
+    joined = graph._join_halves(graph._without_first(first, 5), graph._without_first(second, 5), 10)
+    paths = joined.where(graph._may_share(5))
+    assert {(row["src"], row["dst"]) for row in paths.collect()} == {(1, 11)}
+    found = graph._found(joined, 5)
+    assert found.dtypes == [("src", "bigint"), ("dst", "bigint"), ("kept", "bigint")]
+    assert found.collect() == [(1, 11, 2)]
