@@ -13,7 +13,7 @@ from ledgerscope import functions as fn
 from ledgerscope import fingerprints, plans, sinks, streaming
 from ledgerscope.operators import aggregates, filters, graph, joins
 from ledgerscope.operators import projections as proj
-from ledgerscope.session import scratch_path
+from ledgerscope.session import land, scratch_path
 from ledgerscope.sources import (
     land_ledger,
     numbered_transactions,
@@ -539,7 +539,7 @@ def ledger_q1(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger brought in by two halves, the second one appended, the first one's months written anew."""
-    path, tx = scratch_path(spark, "ledger"), _tx(spark, sf)
+    path, tx = scratch_path(spark, "ledger"), land(_tx(spark, sf), "transactions")
     odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
     land_ledger(tx.where(~odd), path, grain="month")
     land_ledger(tx.where(~odd), path, grain="month", mode="parts")
@@ -566,7 +566,7 @@ def ledger_q3(spark: SparkSession, sf: str) -> DataFrame:
 def _summaries(spark: SparkSession, sf: str, by: list[str] | None = None) -> plans.Summaries:
     """Ledger and states brought in together: one half, its parts once more, and the other half on top."""
     by = by or []
-    path, tx = scratch_path(spark, "ledger"), _client_tx(spark, sf)
+    path, tx = scratch_path(spark, "ledger"), land(_client_tx(spark, sf), "transactions")
     rates = tables.fx_rates(spark, sf)
     odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
     for rows, mode in ((tx.where(~odd), "replace"), (tx.where(~odd), "parts"), (tx.where(odd), "append")):

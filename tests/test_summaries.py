@@ -100,3 +100,20 @@ def test_whole_days_do_not_open_the_ledger(spark, tmp_path):
     whole = Period(FIRST, datetime(2022, 9, 5, 23, 59, 59))
     for answer in (states.bank_max(), states.format_averages(whole), states.low_counts(whole)):
         assert answer.inputFiles() and all("/states/" in name for name in answer.inputFiles())
+
+
+def test_deliveries_read_the_joined_rows_once_written(spark, monkeypatch):
+    """Ledger and states read each delivery several times; none of these reads joins the source tables again."""
+    from ledgerscope.checks import queries
+
+    read = []
+
+    def watched(rows, *args, **kwargs):
+        read.extend(rows.inputFiles())
+        return land_ledger(rows, *args, **kwargs)
+
+    monkeypatch.setattr(queries, "land_ledger", watched)
+    monkeypatch.setattr(plans, "land_summaries", lambda rows, *args: read.extend(rows.inputFiles()))
+    queries._ledger(spark, "/root/testdata/sf0.001")
+    queries._summaries(spark, "/root/testdata/sf0.001")
+    assert read and not [name for name in read if "lineitem" in name or "orders" in name]
