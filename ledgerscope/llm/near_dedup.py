@@ -22,6 +22,8 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from ledgerscope.session import land
 
 # Words are runs of anything but blank and the control characters 9 to 13.
 WORD_BYTES = byte_class((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
+PARITY_BITS = 2048  # a power of two; sets of many more shingles than this are told apart less well, never wrongly
+HOT_LIST = 32
 
 
 @dataclass(frozen=True)
@@ -106,15 +110,22 @@ def fingerprints(docs: DataFrame, params: NearParams) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, params: NearParams) -> DataFrame:
-    """``node, shingles`` of ``docs(doc_id, text)``."""
+    """``node, shingles, parity`` of ``docs(doc_id, text)``; ``parity`` has a bit per place with an odd number of shingles."""
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.view(np.int64) for s in shingle_sets(block.column("text"), params.words)]
+        sets = shingle_sets(block.column("text"), params.words)
+        odd = [np.bincount((mix(s) & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1 for s in sets]
+        parity = [np.packbits(o.astype(np.uint8), bitorder="little").view(np.int64) for o in odd]
         return pa.RecordBatch.from_arrays(
-            [block.column("doc_id"), _list_array(sets, pa.int64())], ["node", "shingles"]
+            [
+                block.column("doc_id"),
+                _list_array([s.view(np.int64) for s in sets], pa.int64()),
+                _list_array(parity, pa.int64()),
+            ],
+            ["node", "shingles", "parity"],
         )
 
-    return docs.mapInArrow(by_block("text", work), "node long, shingles array<long>")
+    return docs.mapInArrow(by_block("text", work), "node long, shingles array<long>, parity array<long>")
 
 
 def _sizes_fit(a: Column, b: Column, params: NearParams) -> Column:
@@ -192,6 +203,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, params: NearParams) -> DataFra
     )
 
 
+def _unlike(a: Column, b: Column) -> Column:
+    """Bits in which two parity sketches are unlike: at most the shingles in which the sets differ."""
+    return reduce(add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY_BITS // 64)])
+
+
 def _across(posts: DataFrame, found: DataFrame, sets: DataFrame, params: NearParams) -> DataFrame:
     """Candidate pairs of different components that share a list.
 
@@ -199,7 +215,8 @@ def _across(posts: DataFrame, found: DataFrame, sets: DataFrame, params: NearPar
     such pair has one of them. Full sets are compared by the prefix principle
     within bands of set sizes: shingles in the order of rarity, each document posting as many
     as its size and the partner's band leave room for, and a match at
-    a late position is not a candidate.
+    a late position is not a candidate. In lists of more than ``HOT_LIST`` documents parity sketches travel with the
+    members, and pairs they rule out never become rows.
     """
     labelled = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = land(labelled.groupBy("token", "component").agg(F.count("*").alias("size")), "groups")
@@ -256,27 +273,33 @@ def _across(posts: DataFrame, found: DataFrame, sets: DataFrame, params: NearPar
         .select(
             "node", "component", "minor", "n", "low_band", "high_band",
             (F.col("n") - F.col("alone") - F.col("at")).alias("rest"),
-            F.col("key.shingle").alias("shingle"),
+            F.col("key.shingle").alias("shingle"), F.col("key.df").alias("df"),
         )
     )
     table = land(ranked, "ranked")
     key = ["shingle", "low_band", "high_band"]
-    left = table.where("minor").select(
-        *key, *[F.col(c).alias(f"{c}_1") for c in ("node", "component", "n", "rest")]
-    )
     needed = (F.col("n_1") + F.col("n")) * (t / (1 + t)) - 1e-9
-    return (
-        left.join(table, key)
-        .where(
-            (F.col("component_1") != F.col("component"))
-            & (~F.col("minor") | (F.col("node_1") < F.col("node")))
-            & _sizes_fit(F.col("n_1"), F.col("n"), params)
-            & (F.least("rest_1", "rest") >= needed)
-        )
-        .select(F.least("node_1", "node").alias("a"), F.greatest("node_1", "node").alias("b"))
-        .distinct()
+    allowed = (
+        (F.col("component_1") != F.col("component"))
+        & (~F.col("minor") | (F.col("node_1") < F.col("node")))
+        & _sizes_fit(F.col("n_1"), F.col("n"), params)
+        & (F.least("rest_1", "rest") >= needed)
     )
 
+    def pairs(rows: DataFrame, carried: tuple[str, ...], test: Column) -> DataFrame:
+        left = rows.where("minor").select(
+            *key, *[F.col(c).alias(f"{c}_1") for c in ("node", "component", "n", "rest", *carried)]
+        )
+        found = left.join(rows, key).where(allowed & test)
+        return found.select(F.least("node_1", "node").alias("a"), F.greatest("node_1", "node").alias("b"))
+
+    # The number of documents is one per shingle, so no list lies in both parts.
+    hot = table.where(F.col("df") > HOT_LIST).join(sets.select("node", "parity"), "node")
+    most = F.floor((100 - params.similarity) * (F.col("n_1") + F.col("n")) / (100 + params.similarity))
+    alike = _unlike(F.col("parity_1"), F.col("parity")) <= most
+    cold = table.where(F.col("df") <= HOT_LIST)
+    return pairs(cold, (), F.lit(True)).unionByName(pairs(hot, ("parity",), alike)).distinct()
+
 
 def near_duplicates(
     docs: DataFrame, params: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text"

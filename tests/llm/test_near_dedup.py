@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+from ledgerscope.llm import near_dedup
 from ledgerscope.llm.near_dedup import NearParams, keep_one, near_duplicates
 from ledgerscope.llm.queries import QUERIES
 
@@ -107,3 +108,23 @@ def test_null_id_and_empty_table(spark):
         ("3", "3", True), ("None", "None", True),
     ]
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_hot_lists_put_out_no_pairs_that_sketches_rule_out(spark):
+    """Variants of one text that share every shingle with some other variant: only pairs that may be similar become rows."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        changed = rng.sample(range(2, 97, 5), 4)
+        rows.append((i, " ".join(f"v{j}" if j in changed else f"s{j}" for j in range(100))))
+    params = NearParams()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    sets = near_dedup.full_sets(frame, params).cache()
+    posts = sets.selectExpr("node", "1L as token")
+    found = spark.createDataFrame([], "node long, component long")
+    pairs = {tuple(r) for r in near_dedup._across(posts, found, sets, params).collect()}
+    of = {r.node: set(r.shingles) for r in sets.collect()}
+    every = [(a, b) for a in of for b in of if a < b]
+    similar = {(a, b) for a, b in every if 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b])}
+    assert similar <= pairs
+    assert len(pairs) <= len(similar) + len(every) // 20, (len(pairs), len(similar))
