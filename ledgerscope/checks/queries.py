@@ -15,6 +15,8 @@ from ledgerscope.operators import aggregates, filters, graph, joins
 from ledgerscope.operators import projections as proj
 from ledgerscope.session import land, scratch_path
 from ledgerscope.sources import (
+    WHOLE,
+    delivered_lines,
     land_ledger,
     numbered_transactions,
     read_accounts,
@@ -137,9 +139,9 @@ def stream_scan_numbered(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
     for rows in (tx.where(odd), tx.where(~odd)):
         tables.raw_transactions(rows).write.option("header", True).mode("append").csv(files)
-        once, again = (numbered_transactions(stream_lines(spark, files, split=1 << 20)) for _ in range(2))
-        kept = streaming.drop_seen(once.unionByName(again), ["message_id"])
-        result = streaming.run_appending(kept, "numbered", table)
+        once, again = (delivered_lines(stream_lines(spark, files, split=1 << 20)) for _ in range(2))
+        kept = streaming.drop_seen(once.unionByName(again), ["file", "line_start"])
+        result = streaming.run_appending(numbered_transactions(kept, WHOLE), "numbered", table)
     return proj.normalize_transactions(result.drop("message_id"))
 
 

@@ -1,8 +1,8 @@
 """Text lines with an id that a repeated delivery repeats: the file's name and the byte at which the line begins.
 
-Spark's own file streams give lines without a place. Here a Python data source lists the folder, cuts files into byte ranges (one
-task each; a line belongs to the range it begins in) and hands lines to Spark in Arrow batches; fields are then
-parsed by Spark's ``from_csv``. The offset of a stream is the number of bytes taken of every file in the folder, so a run
+Spark's own file streams give lines without a place. Here a Python data source lists the folder, cuts files into byte ranges
+(a task has one or, if they are small, several; a line belongs to the range it begins in) and hands lines to Spark in Arrow
+batches; fields are then parsed by Spark's ``from_csv``. The offset of a stream is the number of bytes taken of every file in the folder, so a run
 that starts again from its checkpoint reads the same ranges and gives the same ids. Files that are done may be moved
 away: the offset names only what is there.
 
@@ -16,6 +16,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -29,11 +30,14 @@ from ledgerscope.sources.files import CSV_OPTIONS, empty_as_text, with_bad_line
 
 SCHEMA = "file string, line_start bigint, line string"
 BLOCK = 1 << 20  # bytes read at once
-SPLIT = 64 << 20  # bytes of a file read by one task
+SPLIT = 64 << 20  # bytes of one range
+TASKS_PER_CORE = 4
+DELIVERY = "([^/]+)$"  # the name without its folder
+WHOLE = "(?s)(.*)"
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     """Lines of ``file`` that begin from ``start`` to before ``stop``; none goes beyond ``end``."""
 
     file: str
@@ -43,6 +47,13 @@ class ByteRange(InputPartition):
     line_under_way: bool  # whether byte ``start`` may lie within a line of the range before
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads. Starting one costs about as much as reading some megabytes, so small ranges go together."""
+
+    ranges: list[ByteRange]
+
+
 class _Folder:
     """What both readers share: the files of the folder and how their bytes become lines."""
 
@@ -51,6 +62,7 @@ class _Folder:
         self.header = options.get("header", "true") == "true"
         self.growing = options.get("growing", "false") == "true"
         self.split = int(options.get("split", SPLIT))
+        self.tasks = int(options.get("tasks", 1))
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         path = self.path.replace("s3a://", "s3://", 1)
@@ -80,6 +92,19 @@ class _Folder:
                 stop = start
         return 0
 
+    def _tasks(self, starts: dict[str, int], ends: dict[str, int]) -> list[Ranges]:
+        """All ranges in about ``tasks`` tasks, or more: none has more than ``SPLIT`` bytes and one range."""
+        ranges = self._ranges(starts, ends)
+        most = min(sum(part.stop - part.start for part in ranges) // self.tasks, SPLIT)
+        tasks, size = [], 0
+        for part in ranges:
+            if not tasks or size >= most:
+                tasks.append(Ranges([]))
+                size = 0
+            tasks[-1].ranges.append(part)
+            size += part.stop - part.start
+        return tasks
+
     def _ranges(self, starts: dict[str, int], ends: dict[str, int]) -> list[ByteRange]:
         ranges = []
         for name, end in sorted(ends.items()):
@@ -97,35 +122,51 @@ class _Folder:
         with system.open_input_file(f"{root}/{name}") as file:
             return file.read_at(1, at - 1) == b"\n"
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
         system, root = self._open()
+        for part in task.ranges:
+            yield from self._read_range(system, root, part)
+
+    def _read_range(self, system: fs.FileSystem, root: str, part: ByteRange) -> Iterator[pa.RecordBatch]:
         with system.open_input_file(f"{root}/{part.file}") as file:
             for begin, text in _whole_lines(file, part):
-                lines = text.split(b"\n")
-                if not lines[-1]:
-                    lines.pop()
-                starts = []
-                at = begin
-                for line in lines:
-                    starts.append(at)
-                    at += len(line) + 1
-                kept = [
-                    (at, line)
-                    for at, line in zip(starts, (line.removesuffix(b"\r") for line in lines))
-                    if at < part.stop and line and not (self.header and at == 0)
-                ]
-                if kept:
+                starts, lines = _split_lines(text)
+                starts += begin
+                kept = starts < part.stop
+                if self.header:
+                    kept &= starts != 0
+                starts, lines = starts[kept], lines.filter(pa.array(kept))
+                if len(starts):
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([part.file] * len(kept), pa.string()),
-                            pa.array([at for at, _ in kept], pa.int64()),
-                            # Bytes that are no UTF-8 become the replacement character, as in Spark's CSV reader.
-                            pa.array([line.decode("utf-8", "replace") for _, line in kept], pa.string()),
-                        ],
+                        [pa.repeat(pa.scalar(part.file), len(starts)), pa.array(starts), _as_text(lines)],
                         ["file", "line_start", "line"],
                     )
 
 
+def _split_lines(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Where the lines that are not blank begin, and these lines without their ends."""
+    data = np.frombuffer(text, np.uint8)
+    ends = np.flatnonzero(data == ord("\n"))
+    starts, stops = np.append(0, ends + 1), np.append(ends, len(text))
+    stops = stops - ((stops > starts) & (data[stops - 1] == ord("\r")))
+    full = stops > starts
+    starts, stops = starts[full], stops[full]
+    # Lines and what lies between them take turns.
+    borders = np.append(np.column_stack([starts, stops]).ravel(), len(text)).astype(np.int64)
+    pieces = pa.Array.from_buffers(
+        pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(text)]
+    )
+    return starts.astype(np.int64), pieces.take(pa.array(np.arange(0, len(borders) - 1, 2))).cast(pa.binary())
+
+
+def _as_text(lines: pa.Array) -> pa.Array:
+    try:
+        return lines.cast(pa.string())
+    except pa.ArrowInvalid:
+        # Bytes that are no UTF-8 become the replacement character, as in Spark's CSV reader.
+        return pa.array([line.decode("utf-8", "replace") for line in lines.to_pylist()], pa.string())
+
+
 def _whole_lines(file: pa.NativeFile, part: ByteRange) -> Iterator[tuple[int, bytes]]:
     """Pieces of some whole lines each, with the byte they begin at, until all lines that begin in the range are there."""
     # From one byte before: a line that begins exactly at ``start`` is this range's own.
@@ -154,8 +195,8 @@ def _whole_lines(file: pa.NativeFile, part: ByteRange) -> Iterator[tuple[int, by
 
 
 class _BatchReader(_Folder, DataSourceReader):
-    def partitions(self) -> list[ByteRange]:
-        return self._ranges({}, self._ends())
+    def partitions(self) -> list[Ranges]:
+        return self._tasks({}, self._ends())
 
 
 class _StreamReader(_Folder, DataSourceStreamReader):
@@ -165,8 +206,8 @@ class _StreamReader(_Folder, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"files": json.dumps(self._ends(), sort_keys=True)}
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        return self._ranges(json.loads(start["files"]), json.loads(end["files"]))
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return self._tasks(json.loads(start["files"]), json.loads(end["files"]))
 
     def commit(self, end: dict) -> None:
         """Nothing is held for offsets that are done."""
@@ -194,7 +235,8 @@ def _options(spark: SparkSession, header: bool, growing: bool, split: int) -> di
         spark.dataSource.register(NumberedLines)
     finally:
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
-    return {"header": str(header).lower(), "growing": str(growing).lower(), "split": str(split)}
+    tasks = str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return {"header": str(header).lower(), "growing": str(growing).lower(), "split": str(split), "tasks": tasks}
 
 
 def read_lines(
@@ -216,7 +258,16 @@ def stream_lines(
     return spark.readStream.format("numbered_lines").options(**_options(spark, header, growing, split)).load(path)
 
 
-def numbered_transactions(lines: DataFrame, delivery: str = "([^/]+)$") -> DataFrame:
+def delivered_lines(lines: DataFrame, delivery: str = DELIVERY) -> DataFrame:
+    """Numbered lines with the part of the file's name that a repeated delivery repeats in place of ``file``.
+
+    ``drop_seen(delivered_lines(lines), ["file", "line_start"])`` keeps each line of repeated deliveries once, before
+    its fields are parsed. ``numbered_transactions`` then takes the whole of ``file``: ``delivery=WHOLE``.
+    """
+    return lines.withColumn("file", F.regexp_extract("file", delivery, 1))
+
+
+def numbered_transactions(lines: DataFrame, delivery: str = DELIVERY) -> DataFrame:
     """Transactions as by ``read_transactions``, with ``message_id``, from numbered lines.
 
     ``delivery`` is a pattern whose first group is the part of a file's name that a repeated delivery repeats. The id

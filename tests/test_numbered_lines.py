@@ -10,7 +10,7 @@ from bank_files import TRANSACTIONS
 from ledgerscope import streaming
 from ledgerscope.operators.projections import normalize_transactions
 from ledgerscope.sources import read_transactions
-from ledgerscope.sources.numbered_lines import numbered_transactions, read_lines, stream_lines
+from ledgerscope.sources.numbered_lines import WHOLE, delivered_lines, numbered_transactions, read_lines, stream_lines
 
 
 def rows(df):
@@ -116,3 +116,27 @@ def test_growing_file(spark, tmp_path):
     file.write_text("head\n")
     with pytest.raises(Exception, match="rewritten"):
         run()
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """One task per range took most of its time to start."""
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("head\n" + "".join(f"line {i} of {name}\n" for i in range(5_000)))
+    found, whole = read_lines(spark, str(tmp_path), split=100), read_lines(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
+    assert rows(found) == rows(whole) and found.count() == 10_000
+
+
+def test_lines_kept_once_before_they_are_parsed(spark, tmp_path):
+    delivery, (header, *lines) = r"(.*)\.[0-9]+$", TRANSACTIONS.replace("\n\n", "\n").splitlines()
+    into, out = tmp_path / "in", str(tmp_path / "out")
+    for name in ("x/a.csv.1", "x/a.csv.2", "y/a.csv.1"):
+        (into / name).parent.mkdir(parents=True, exist_ok=True)
+        (into / name).write_text("\n".join([header, *lines]) + "\n")
+        once = streaming.drop_seen(delivered_lines(stream_lines(spark, str(into), split=50), delivery), ["file", "line_start"])
+        got = rows(streaming.run_appending(numbered_transactions(once, WHOLE), "once", out))
+    parsed_first = numbered_transactions(read_lines(spark, str(into)), delivery)
+    key = [f"coalesce({c}, '-') as {c}" for c in parsed_first.columns]
+    again = spark.read.parquet(f"{out}/table").selectExpr(*key)
+    assert rows(again) == rows(parsed_first.dropDuplicates(["message_id"]).selectExpr(*key))
+    assert len(got) == 2 * len(lines)
