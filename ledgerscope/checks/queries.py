@@ -408,7 +408,7 @@ def account_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_mid_count(spark: SparkSession, sf: str) -> DataFrame:
-    counts = graph.path_counts(graph.two_hop_paths(_edges(spark, sf), K, PARAMS.hub_paths))
+    counts = graph.path_counts(graph.two_hop_paths(_edges(spark, sf), K, PARAMS.hub_paths, together=True))
     return _flat(counts, "src", "dst", keep=("mids",))
 
 

@@ -42,6 +42,8 @@ from ledgerscope.operators.filters import in_period, require_fields, usd_only
 from ledgerscope.params import RiskParams
 from ledgerscope.session import land
 
+TASK_PATHS = 1 << 20  # paths of one task that counts them
+MOST_TASKS = 1 << 14
 SKETCH_WORDS = 8  # of 64 bits: good for accounts with up to some hundred others; beyond, fewer pairs fail the test
 
 
@@ -138,7 +140,7 @@ def _halves(edges: DataFrame, degrees: DataFrame, k: int) -> tuple[DataFrame, Da
 
 
 def _join_halves(
-    first: DataFrame, second: DataFrame, hub_paths: int | None = None
+    first: DataFrame, second: DataFrame, hub_paths: int | None = None, lists: bool = False
 ) -> DataFrame:
     """Paths of the halves, with different ends.
 
@@ -147,6 +149,9 @@ def _join_halves(
     a cell holds about ``hub_paths`` pairs and cells are spread over the tasks.
     A sender is copied to the columns of its row and a receiver to the rows of
     its column, which is 2 / root(hub_paths) copies per pair put out.
+
+    With ``lists`` a sender meets the list ``ends`` of all receivers of its cell, itself perhaps among them; these are
+    about root(hub_paths) at most.
     """
     different = F.col("src") != F.col("dst")
     if hub_paths is None:
@@ -170,6 +175,8 @@ def _join_halves(
     by_row = placed(first, "src", "rows", "columns")
     by_column = placed(second, "dst", "columns", "rows")
     cell = ["mid", "rows_cell", "columns_cell"]
+    if lists:
+        return by_row.join(by_column.groupBy(*cell).agg(F.collect_list("dst").alias("ends")), cell)
     return by_row.join(by_column, cell).where(different).drop("rows_cell", "columns_cell")
 
 
@@ -201,17 +208,42 @@ def _join_cells(first: DataFrame, second: DataFrame, hub_paths: int) -> DataFram
     return by_row.join(by_column.hint("merge"), cell).drop("mid_in_cell", "mid_out_cell")
 
 
-def two_hop_paths(edges: DataFrame, k: int, hub_paths: int | None = None) -> DataFrame:
+def two_hop_paths(
+    edges: DataFrame, k: int, hub_paths: int | None = None, together: bool = False
+) -> DataFrame:
     """All paths (src, mid, dst) with different ends, of accounts frequent enough.
 
     The paths themselves are the result here, so a hub yields all its in x out,
     by several tasks if ``hub_paths`` is given; `scatter_gather_pairs` counts
     them without writing them out. With ``k=1`` nothing is left out.
+
+    With ``together`` all paths of a ``src`` come out in one partition, for whoever groups
+    them by it and more: they are shuffled as lists and not one by one.
     """
+    if together:
+        return _paths_together(edges, k, hub_paths)
     first, second = _halves(edges, account_degrees(edges), k)
     return _join_halves(first, second, hub_paths).select("src", "mid", "dst")
 
 
+def _paths_together(edges: DataFrame, k: int, hub_paths: int | None) -> DataFrame:
+    """The paths, shuffled by ``src`` as rows that hold all last accounts of a cell (see `_join_halves`).
+
+    So ``src`` is shuffled once per cell, and copies of a list follow one another, where compression finds them. A
+    ``src`` has no more paths than there are edges. The number of paths, which the degrees give from above, sets the number
+    of partitions: what is grouped in one of them is to fit into memory.
+    """
+    edges = land(edges, "edges")
+    degrees = land(account_degrees(edges), "degrees")
+    paths = degrees.agg(F.sum(F.col("in_degree").cast("double") * F.col("out_degree"))).first()[0] or 0.0
+    parts = int(min(max(paths / TASK_PATHS, 1.0), MOST_TASKS))
+    first, second = _halves(edges, degrees, k)
+    side = RiskParams.hub_paths if hub_paths is None else hub_paths
+    lists = _join_halves(first, second, side, lists=True).select("src", "mid", "ends")
+    rows = lists.repartition(parts, "src").select("src", "mid", F.explode("ends").alias("dst"))
+    return rows.where(F.col("src") != F.col("dst"))
+
+
 def paths_per_account(edges: DataFrame, k: int) -> DataFrame:
     """Number of paths with different ends over every account, without joining any.
 

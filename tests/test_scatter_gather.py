@@ -133,6 +133,28 @@ def test_paths(spark, edges, hub_paths):
         assert sorted(got[name]) == sorted(brute_paths(pairs)), name
 
 
+@pytest.mark.parametrize("hub_paths", [None, 0, 7, 1_000_000])
+def test_paths_together(spark, edges, hub_paths, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_PATHS", 500)
+    paths = graph.two_hop_paths(edges, 1, hub_paths, together=True)
+    got = defaultdict(list)
+    for row in paths.collect():
+        path = tuple(row[end]["account"] for end in ("src", "mid", "dst"))
+        got[row["src"]["client_id"]].append(path)
+    for name, pairs in GRAPHS.items():
+        assert sorted(got[name]) == sorted(brute_paths(pairs)), name
+
+
+def test_paths_are_counted_where_they_come_out(spark, edges):
+    """No path is shuffled by itself: lists of last accounts are, by the first account."""
+    counts = graph.path_counts(graph.two_hop_paths(edges, 1, 7, together=True))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("explode(ends")]
+    assert "HashAggregate" in after and "Exchange" not in after
+    got = {(row["src"]["client_id"], row["src"]["account"], row["dst"]["account"]): row["mids"] for row in counts.collect()}
+    assert got == {(name, *pair): mids for name, pairs in GRAPHS.items() for pair, mids in brute_counts(pairs).items()}
+
+
 def test_paths_per_account(spark, edges):
     got = {
         (row["mid"]["client_id"], row["mid"]["account"]): row["paths"]
