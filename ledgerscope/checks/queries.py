@@ -13,7 +13,7 @@ from ledgerscope import functions as fn
 from ledgerscope import fingerprints, plans, sinks, streaming
 from ledgerscope.operators import aggregates, filters, graph, joins
 from ledgerscope.operators import projections as proj
-from ledgerscope.session import land, scratch_path
+from ledgerscope.session import land, remove, scratch_path, shuffles_removed
 from ledgerscope.sources import (
     WHOLE,
     delivered_lines,
@@ -133,15 +133,20 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_scan_numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """Bank files in two deliveries, read in byte ranges; all lines arrive twice and are kept once, by file and byte."""
+    """Bank files in two deliveries, read in byte ranges; all lines arrive twice and are kept once, by file and byte.
+
+    What is done with is deleted at once: shuffles, and files whose lines are in the table.
+    """
     files, table = scratch_path(spark, "numbered-csv"), scratch_path(spark, "numbered")
     tx = _tx(spark, sf)
     odd = F.pmod(F.col("from_account").cast("long"), F.lit(2)) == 1
-    for rows in (tx.where(odd), tx.where(~odd)):
-        tables.raw_transactions(rows).write.option("header", True).mode("append").csv(files)
-        once, again = (delivered_lines(stream_lines(spark, files, split=1 << 20)) for _ in range(2))
-        kept = streaming.drop_seen(once.unionByName(again), ["file", "line_start"])
-        result = streaming.run_appending(numbered_transactions(kept, WHOLE), "numbered", table)
+    with shuffles_removed(spark):
+        for rows in (tx.where(odd), tx.where(~odd)):
+            tables.raw_transactions(rows).write.option("header", True).mode("append").csv(files)
+            once, again = (delivered_lines(stream_lines(spark, files, split=1 << 20)) for _ in range(2))
+            kept = streaming.drop_seen(once.unionByName(again), ["file", "line_start"], place="line_start")
+            result = streaming.run_appending(numbered_transactions(kept, WHOLE), "numbered", table)
+            remove(spark, files)
     return proj.normalize_transactions(result.drop("message_id"))
 
 

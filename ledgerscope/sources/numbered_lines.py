@@ -261,7 +261,7 @@ def stream_lines(
 def delivered_lines(lines: DataFrame, delivery: str = DELIVERY) -> DataFrame:
     """Numbered lines with the part of the file's name that a repeated delivery repeats in place of ``file``.
 
-    ``drop_seen(delivered_lines(lines), ["file", "line_start"])`` keeps each line of repeated deliveries once, before
+    ``drop_seen(delivered_lines(lines), ["file", "line_start"], place="line_start")`` keeps each line of repeated deliveries once, before
     its fields are parsed. ``numbered_transactions`` then takes the whole of ``file``: ``delivery=WHOLE``.
     """
     return lines.withColumn("file", F.regexp_extract("file", delivery, 1))
@@ -277,6 +277,7 @@ def numbered_transactions(lines: DataFrame, delivery: str = DELIVERY) -> DataFra
     ddl = ", ".join(f"{field.name} string" for field in fields)
     options = {name: value for name, value in CSV_OPTIONS.items() if name != "header"}
     record = F.from_csv("line", ddl, options).alias("record")
-    message_id = F.concat_ws(":", F.regexp_extract("file", delivery, 1), "line_start").alias("message_id")
+    delivered = F.col("file") if delivery == WHOLE else F.regexp_extract("file", delivery, 1)
+    message_id = F.concat_ws(":", delivered, "line_start").alias("message_id")
     rows = lines.select(record, message_id).select("message_id", "record.*")
     return empty_as_text(rows)

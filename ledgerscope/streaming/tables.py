@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerscope.session import scratch_path
+from ledgerscope.streaming.places import drop_seen_places
 
 
 def run_appending(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -24,6 +25,7 @@ def run_appending(stream: DataFrame, label: str, path: str | None = None) -> Dat
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
+        .option("compression", "zstd")
         .option("path", f"{path}/table")
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
@@ -82,13 +84,19 @@ def drop_seen(
     keys: Sequence[str] = ("client_id", "message_id"),
     event_time: str | None = None,
     delay: str = "1 hour",
+    place: str | None = None,
 ) -> DataFrame:
     """Drop messages delivered again, by client and message id.
 
     Without ``event_time`` every id is remembered, exactly but without end. With
     it an id is forgotten once ``delay`` has passed behind the newest event
-    time, for systems which deliver again within that delay.
+    time, for systems which deliver again within that delay. ``place`` names a key that is
+    a place in a file: neighbours are then shuffled and remembered together, in much less space.
     """
+    if place is not None:
+        if event_time is not None or place not in keys:
+            raise ValueError("place is one of the keys, and places are remembered without end")
+        return drop_seen_places(stream, keys, place)
     if event_time is None:
         return stream.dropDuplicates(list(keys))
     columns = stream.columns
